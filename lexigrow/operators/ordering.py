@@ -133,3 +133,21 @@ def hash_cutoffs(
         .alias("cutoff"),
     )
     return settled(cutoffs)
+
+
+def hash_cutoff(df: DataFrame, order: str, n: int) -> str:
+    """The n-th smallest md5 value of a whole table, or one above all when there are fewer.
+
+    At most 16 ** HEX_DIGITS bucket counts reach the driver; only the bucket holding the
+    cut-off is sorted.
+    """
+    if n <= 0:
+        return ""
+    narrow = df.select(order).withColumn("__bucket", hash_bucket(F.col(order)))
+    before = 0
+    for row in narrow.groupBy("__bucket").count().orderBy("__bucket").collect():
+        if before + row["count"] >= n:
+            edge = narrow.where(F.col("__bucket") == row["__bucket"])
+            return edge.orderBy(order).limit(n - before).agg(F.max(order)).first()[0]
+        before += row["count"]
+    return "g"

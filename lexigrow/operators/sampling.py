@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexigrow.operators.ordering import (
     hash_bucket,
+    hash_cutoff,
     hash_cutoffs,
     hash_order,
     hash_rank,
@@ -48,32 +49,18 @@ def sample_per_class(
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
     """Exactly n rows of the table, or all of it when it has no more."""
-    ordered = df.withColumn("__order", hash_order(seed, key)).withColumn("__all", F.lit(1))
-    quota = df.sparkSession.range(1).select(
-        F.lit(1).alias("__all"), F.lit(n).cast("long").alias("quota")
-    )
-    cutoffs = hash_cutoffs(ordered, "__order", "__all", quota)
-    return (
-        ordered.join(cutoffs, "__all")
-        .where(F.col("__order") <= F.col("cutoff"))
-        .select(*df.columns)
-    )
+    ordered = df.withColumn("__order", hash_order(seed, key))
+    cutoff = hash_cutoff(ordered, "__order", n)
+    return ordered.where(F.col("__order") <= cutoff).drop("__order")
 
 
 def match_negatives(df: DataFrame, label: str, key: str, seed: int = 7) -> DataFrame:
     """As many negatives (label 0 or false) as there are positives."""
     flag = F.col(label).cast("int")
-    ordered = df.withColumn("__order", hash_order(seed, key)).withColumn("__class", flag)
-    quota = df.agg(F.sum((flag == 1).cast("long")).alias("quota")).select(
-        F.lit(0).alias("__class"), F.coalesce("quota", F.lit(0)).alias("quota")
-    )
-    negatives = ordered.where(F.col("__class") == 0)
-    cutoffs = hash_cutoffs(negatives, "__order", "__class", quota)
-    return (
-        negatives.join(cutoffs, "__class")
-        .where(F.col("__order") <= F.col("cutoff"))
-        .select(*df.columns)
-    )
+    positives = df.where(flag == 1).count()
+    negatives = df.where(flag == 0).withColumn("__order", hash_order(seed, key))
+    cutoff = hash_cutoff(negatives, "__order", positives)
+    return negatives.where(F.col("__order") <= cutoff).drop("__order")
 
 
 def contrast_samples(df: DataFrame, group: str, key: str, seed: int = 7) -> DataFrame:
@@ -93,14 +80,9 @@ def contrast_samples(df: DataFrame, group: str, key: str, seed: int = 7) -> Data
     own = narrow.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("own"))
     everyone = own.groupBy("__bucket").agg(F.sum("own").alias("everyone"))
     sizes = own.groupBy(group).agg(F.sum("own").alias("size"))
-    total = own.agg(F.sum("own").alias("total")).withColumn("__all", F.lit(1))
-    quota = (
-        sizes.withColumn("__all", F.lit(1))
-        .join(total, "__all")
-        .select(
-            F.col(group).alias("contrast_of"),
-            F.least("size", F.col("total") - F.col("size")).alias("quota"),
-        )
+    total = df.count()
+    quota = sizes.select(
+        F.col(group).alias("contrast_of"), F.least("size", total - F.col("size")).alias("quota")
     )
     grid = quota.select(
         "contrast_of", "quota", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("__bucket")

@@ -370,13 +370,13 @@ ORACLE = {
         present AS (SELECT DISTINCT doc_id, tok FROM kept),
         n AS (SELECT count(*) AS n FROM documents),
         one AS (SELECT tok, count(*) AS freq FROM present GROUP BY tok
-                HAVING count(*) >= ceil(0.35 * (SELECT n FROM n))),
+                HAVING count(*) >= ceil(0.1 * (SELECT n FROM n))),
         common AS (SELECT p.* FROM present p JOIN one USING (tok))
         SELECT tok AS items, freq FROM one
         UNION ALL
         SELECT x.tok || ' ' || y.tok, count(*) FROM common x JOIN common y
           ON x.doc_id = y.doc_id AND x.tok < y.tok GROUP BY x.tok, y.tok
-        HAVING count(*) >= ceil(0.35 * (SELECT n FROM n))""",
+        HAVING count(*) >= ceil(0.1 * (SELECT n FROM n))""",
     "lasso_input": LASSO_ROWS + " SELECT doc_id, y, fold FROM lasso_rows",
     "lasso_moments": LASSO_ROWS
     + weights("WHERE doc_id IN (SELECT doc_id FROM lasso_rows)")

@@ -384,7 +384,7 @@ def itemset_presence(spark, folder):
 def fpgrowth_itemsets(spark, folder):
     docs = drop_stopwords(tokenised(spark, folder), "tokens", default_stopwords())
     items = docs.select(F.array_distinct("tokens").alias("items"))
-    found = its.frequent_itemsets(items, "items", min_support=0.35)
+    found = its.frequent_itemsets(items, "items", min_support=0.1)
     return found.select(glued(F.col("items"), " ").alias("items"), "freq")
 
 
