@@ -19,6 +19,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrow.functions.text import unnest
 from lexigrow.operators.metrics import confusion_metrics, roc_auc
 from lexigrow.operators.sampling import class_weights, sample_per_class, stratified_folds
 from lexigrow.operators.scoring import label_from_score
@@ -146,16 +147,31 @@ def score_and_label(model, df: DataFrame, name: str = "SGD") -> DataFrame:
     return scored.withColumn("y", label_from_score(F.col(f"y_pred_prob_{name}")))
 
 
-def test_scores(model, df: DataFrame, name: str) -> dict[str, float]:
-    """F1, precision, recall, ROC-AUC and accuracy on held-out rows."""
-    scored = model.transform(df)
-    score = F.col("prediction") if name in HARD_LABEL else vector_to_array("probability")[1]
-    scored = settled(scored.select("label", "prediction", score.alias("score")))
-    counts = confusion_metrics(scored, "label", "prediction").first()
-    auc = roc_auc(scored, "label", "score").first()["auc"]
-    result = {m: float(counts[m]) for m in ("f1", "precision", "recall", "accuracy")}
-    result["roc_auc"] = float("nan") if auc is None else float(auc)
-    return result
+def held_out_scores(models: dict, df: DataFrame) -> dict[str, dict[str, float]]:
+    """F1, precision, recall, ROC-AUC and accuracy of every model on held-out rows.
+
+    All models score a row in one pass; their metrics come from two grouped aggregates.
+    """
+    for name, model in models.items():
+        scored = model.transform(df)
+        hard = name in HARD_LABEL
+        score = F.col("prediction") if hard else vector_to_array("probability")[1]
+        result = F.struct(F.lit(name).alias("clf_name"), "prediction", score.alias("score"))
+        df = scored.withColumn(f"__{name}", result).drop(
+            "rawPrediction", "probability", "prediction"
+        )
+    results = F.array(*[F.col(f"__{name}") for name in models])
+    rows = settled(unnest(df, results, "r", keep=["label"]).select("label", "r.*"))
+    found = confusion_metrics(rows, "label", "prediction", by="clf_name")
+    found = found.join(roc_auc(rows, "label", "score", by="clf_name"), "clf_name")
+    metrics = {"f1": "f1", "precision": "precision", "recall": "recall", "roc_auc": "auc", "accuracy": "accuracy"}
+    return {
+        row["clf_name"]: {
+            name: float("nan") if row[column] is None else float(row[column])
+            for name, column in metrics.items()
+        }
+        for row in found.collect()
+    }
 
 
 def model_path(folder: str, name: str) -> str:
@@ -187,7 +203,9 @@ def run_classifiers(
         if save_to is not None:
             model.write().overwrite().save(model_path(save_to, name))
         models[name] = model
-        rows.append((name, score, test_scores(model, validation, name), params))
+        rows.append((name, score, params))
+    tested = held_out_scores(models, validation)
+    rows = [(name, score, tested.get(name), params) for name, score, params in rows]
     return models, spark.createDataFrame(rows, RESULT_SCHEMA)
 
 

@@ -77,10 +77,10 @@ def contrast_samples(df: DataFrame, group: str, key: str, seed: int = 7) -> Data
         "__bucket", hash_bucket(F.col("__order"), CONTRAST_DIGITS)
     )
     narrow = ordered.select(group, "__order", "__bucket")
-    own = narrow.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("own"))
+    own = settled(narrow.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("own")))
     everyone = own.groupBy("__bucket").agg(F.sum("own").alias("everyone"))
     sizes = own.groupBy(group).agg(F.sum("own").alias("size"))
-    total = df.count()
+    total = own.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0]
     quota = sizes.select(
         F.col(group).alias("contrast_of"), F.least("size", total - F.col("size")).alias("quota")
     )
