@@ -134,12 +134,13 @@ def stratified_split(
 ) -> DataFrame:
     """Adds ``split``: 'train' or 'test', the test part holding ``ceil(share * rows)`` rows.
 
-    The training rows are divided over the classes by largest remainder.
+    The training rows are divided over the classes by largest remainder; a class's training
+    rows are those up to a cut-off of its md5 order, so no row is moved to be split.
     """
     ordered = df.withColumn("__order", hash_order(seed, label, key))
-    ranked = hash_rank(ordered, "__order", "__rank", [label])
     everything = Window.partitionBy("__all")
-    sizes = (
+    remainder = everything.orderBy(F.desc(F.col("__share") - F.col("__floor")), F.asc(label))
+    quota = (
         df.groupBy(label)
         .agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__all", F.lit(1))
@@ -148,22 +149,15 @@ def stratified_split(
         .withColumn("__share", F.col("__n") * F.col("__train") / F.col("__total"))
         .withColumn("__floor", F.floor("__share"))
         .withColumn("__left", F.col("__train") - F.sum("__floor").over(everything))
-        .withColumn(
-            "__turn",
-            F.row_number().over(
-                everything.orderBy(F.desc(F.col("__share") - F.col("__floor")), F.asc(label))
-            ),
-        )
-        .withColumn(
-            "__quota", F.col("__floor") + (F.col("__turn") <= F.col("__left")).cast("int")
+        .withColumn("__turn", F.row_number().over(remainder))
+        .select(
+            label,
+            (F.col("__floor") + (F.col("__turn") <= F.col("__left")).cast("int")).alias("quota"),
         )
-        .select(label, "__quota")
-    )
-    return (
-        ranked.join(settled(sizes), label)
-        .withColumn("split", F.when(F.col("__rank") <= F.col("__quota"), "train").otherwise("test"))
-        .select(*df.columns, "split")
     )
+    cutoffs = hash_cutoffs(ordered, "__order", label, settled(quota))
+    part = F.when(F.col("__order") <= F.col("cutoff"), "train").otherwise("test")
+    return ordered.join(cutoffs, label).withColumn("split", part).select(*df.columns, "split")
 
 
 def stratified_folds(

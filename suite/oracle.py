@@ -91,7 +91,8 @@ top AS (
 KEYWORDS = (
     TOP_TERMS
     + """
-SELECT term AS keyword, round(avg(weight), 6) AS tfidf_weight FROM top GROUP BY term"""
+SELECT term AS keyword, sum(CAST(round(weight * 1000) AS BIGINT)) / (count(*) * 1000) AS tfidf_weight
+FROM top GROUP BY term"""
 )
 
 SCORES = (
@@ -230,24 +231,50 @@ near AS (
   FROM sims QUALIFY rank <= 25
 )"""
 
-SPLIT = f"""
-WITH sizes AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality),
-total AS (SELECT count(*) AS t, count(*) - CAST(ceil(count(*) * 0.2) AS BIGINT) AS train FROM labels),
-shares AS (SELECT quality, n * train / t AS share FROM sizes, total),
-floors AS (SELECT quality, share, floor(share) AS f FROM shares),
+
+def split_by(label: str) -> str:
+    """``parts``: labelled documents with their side of the stratified 80/20 split."""
+    return f"""
+class_sizes AS (SELECT {label} AS y, count(*) AS n FROM labels GROUP BY {label}),
+goal AS (SELECT count(*) AS t, count(*) - CAST(ceil(count(*) * 0.2) AS BIGINT) AS train FROM labels),
+shares AS (SELECT y, n * train / t AS share, floor(n * train / t) AS f FROM class_sizes, goal),
 quota AS (
-  SELECT quality, f + CAST(row_number() OVER (ORDER BY share - f DESC, quality)
-         <= (SELECT train FROM total) - (SELECT sum(f) FROM floors) AS INTEGER) AS q FROM floors
+  SELECT y, f + CAST(row_number() OVER (ORDER BY share - f DESC, y)
+         <= (SELECT train FROM goal) - (SELECT sum(f) FROM shares) AS INTEGER) AS q FROM shares
 ),
-ranked AS (
-  SELECT doc_id, quality,
-         row_number() OVER (PARTITION BY quality ORDER BY {md5_order('quality', 'doc_id')}) AS r
-  FROM labels
+parts AS (
+  SELECT doc_id, {label}, CASE WHEN r <= q THEN 'train' ELSE 'test' END AS split
+  FROM (SELECT doc_id, {label}, row_number() OVER (
+          PARTITION BY {label} ORDER BY {md5_order(label, 'doc_id')}) AS r FROM labels)
+  JOIN quota ON y = {label}
+)"""
+
+
+# Weights of all labelled documents under the vocabulary of the training part.
+TRAIN_FEATURES = (
+    "WITH "
+    + TERMS
+    + ","
+    + split_by("toxic")
+    + f""",
+total AS (SELECT count(*) AS n FROM parts WHERE split = 'train'),
+vocab AS (
+  SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf
+  FROM terms WHERE doc_id IN (SELECT doc_id FROM parts WHERE split = 'train')
+  GROUP BY term
+  HAVING count(DISTINCT doc_id) >= {MIN_DF}
+     AND count(DISTINCT doc_id) <= {MAX_DF} * (SELECT n FROM total)
+  ORDER BY cf DESC, term LIMIT 100
+)"""
+    + weights("")
+    + """
+SELECT p.doc_id, p.toxic, CASE split WHEN 'train' THEN split ELSE 'validation' END AS split,
+       CAST(count(term) AS INTEGER) AS n_terms, round(coalesce(sum(w), 0), 6) AS weight_sum
+FROM parts p LEFT JOIN weights USING (doc_id) GROUP BY p.doc_id, p.toxic, split"""
 )
-SELECT doc_id, quality, CASE WHEN r <= q THEN 'train' ELSE 'test' END AS split
-FROM ranked JOIN quota USING (quality)"""
 
 ORACLE = {
+    "train_features": TRAIN_FEATURES,
     "labelled_docs": f"""SELECT doc_id, quality, toxic, len({tokens()}) AS n_tokens
         FROM documents JOIN labels USING (doc_id)""",
     "positive_docs": f"""SELECT doc_id, len({tokens()}) AS n_tokens
@@ -286,7 +313,7 @@ ORACLE = {
         SELECT d.doc_id, d.lang, s.lang AS contrast_of
         FROM sizes s JOIN documents d ON d.lang <> s.lang
         QUALIFY row_number() OVER (PARTITION BY s.lang ORDER BY {md5_order('d.doc_id')}) <= s.n""",
-    "stratified_split": SPLIT,
+    "stratified_split": f"WITH {split_by('quality')} SELECT doc_id, quality, split FROM parts",
     "stratified_folds": f"""SELECT doc_id, quality, CAST((row_number() OVER (PARTITION BY quality
         ORDER BY {md5_order('quality', 'doc_id')}) - 1) % 5 AS INTEGER) AS fold FROM labels""",
     "chunk_by_total": """SELECT doc_id, (p * 7 + n - 1) // n - 1 AS chunk FROM (
@@ -294,8 +321,8 @@ ORACLE = {
         FROM documents)""",
     "chunk_by_size": """SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS chunk
         FROM documents""",
-    "class_weights": """SELECT doc_id, toxic, round((SELECT count(*) FROM labels)
-        / ((SELECT count(DISTINCT toxic) FROM labels) * count(*) OVER (PARTITION BY toxic)), 6)
+    "class_weights": """SELECT doc_id, toxic, (SELECT count(*) FROM labels)
+        / ((SELECT count(DISTINCT toxic) FROM labels) * count(*) OVER (PARTITION BY toxic))
         AS weight FROM labels""",
     "score_matrix": f"WITH scores AS ({SCORES}) SELECT vec_id, "
     + ", ".join(f"round(y_pred_prob_{n}, 6) AS y_pred_prob_{n}" for n in CLUSTER_SCORES)
@@ -312,10 +339,10 @@ ORACLE = {
                count(*) FILTER (label = 0 AND guess = 1) AS fp,
                count(*) FILTER (label = 1 AND guess = 0) AS fn,
                count(*) FILTER (label = 0 AND guess = 0) AS tn FROM guesses GROUP BY clf_name)
-        SELECT clf_name, tp, fp, fn, tn, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1,
-               round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision,
-               round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
-               round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FROM m""",
+        SELECT clf_name, tp, fp, fn, tn, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1,
+               coalesce(tp / nullif(tp + fp, 0), 0) AS precision,
+               coalesce(tp / nullif(tp + fn, 0), 0) AS recall,
+               (tp + tn) / (tp + fp + fn + tn) AS accuracy FROM m""",
     "clf_auc": """WITH s AS (SELECT CAST(label = 1 AS INTEGER) AS y,
                round(CAST(embedding[1] AS DOUBLE), 2) AS score FROM embeddings),
         r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r
@@ -335,7 +362,7 @@ ORACLE = {
     "cluster_size_filter": f"""SELECT doc_id, lang AS cluster, count(*) OVER (PARTITION BY lang)
         AS cluster_count FROM documents QUALIFY cluster_count >= {CLUSTER_MIN_SIZE}""",
     "cluster_itemsets": ITEMSETS
-    + " SELECT cluster, items, round(support, 6) AS support FROM itemsets",
+    + " SELECT cluster, items, support FROM itemsets",
     "itemset_likelihood": ITEMSETS
     + " SELECT cluster, items, c1, n1, c0, n0, round(likelihood, 6) AS likelihood FROM ranked",
     "itemset_top10": ITEMSETS

@@ -138,15 +138,12 @@ def tfidf_top_terms(spark, folder):
 
 def tfidf_keyword_table(spark, folder):
     docs = labelled(spark, folder).where("quality = 1")
-    found = tfidf_keywords(docs, min_df=MIN_DF)
-    return found.select("keyword", F.round("tfidf_weight", 6).alias("tfidf_weight"))
+    return tfidf_keywords(docs, min_df=MIN_DF)
 
 
 def tfidf_keywords_top10(spark, folder):
     docs = labelled(spark, folder).where("quality = 1")
-    found = tfidf_keywords(docs, min_df=MIN_DF).select(
-        "keyword", F.round("tfidf_weight", 6).alias("tfidf_weight")
-    )
+    found = tfidf_keywords(docs, min_df=MIN_DF)
     return found.orderBy(F.desc("tfidf_weight"), "keyword").limit(10)
 
 
@@ -193,8 +190,7 @@ def chunk_by_size(spark, folder):
 
 def class_weights(spark, folder):
     rows = table(spark, folder, "labels").select("doc_id", "toxic")
-    weighted = sampling.class_weights(rows, "toxic")
-    return weighted.select("doc_id", "toxic", F.round("weight", 6).alias("weight"))
+    return sampling.class_weights(rows, "toxic")
 
 
 # -- scores and metrics
@@ -248,11 +244,7 @@ def clf_metrics(spark, folder):
         ]
     )
     rows = unnest(wide, pairs, "s", keep=["label"]).select("label", "s.clf_name", "s.prediction")
-    found = confusion_metrics(rows, "label", "prediction", by="clf_name")
-    ratios = ("f1", "precision", "recall", "accuracy")
-    return found.select(
-        "clf_name", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ratios]
-    )
+    return confusion_metrics(rows, "label", "prediction", by="clf_name")
 
 
 def clf_auc(spark, folder):
@@ -284,10 +276,8 @@ def batch_score_table(spark, folder):
 
 
 def cluster_counts(spark, folder):
-    rows = table(spark, folder, "documents")
-    return rows.groupBy(F.col("lang").alias("cluster")).agg(
-        *[F.count(c).alias(c) for c in ("doc_id", "text", "source", "n_chars")]
-    )
+    rows = table(spark, folder, "documents").withColumnRenamed("lang", "cluster")
+    return scoring.column_counts(rows, "cluster")
 
 
 def distinct_clusters(spark, folder):
@@ -318,9 +308,7 @@ def _best(spark, folder):
 
 def cluster_itemsets(spark, folder):
     found = _itemsets(spark, folder)
-    return found.select(
-        "cluster", glued(F.col("items"), " ").alias("items"), F.round("support", 6).alias("support")
-    )
+    return found.select("cluster", glued(F.col("items"), " ").alias("items"), "support")
 
 
 def itemset_likelihood(spark, folder):
