@@ -34,11 +34,12 @@ def sample_per_class(
 
     A class with fewer than n rows stays whole. ``threshold=None`` always samples.
     """
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__size"))
     if threshold is not None and df.count() <= threshold:
         return df
     ordered = df.withColumn("__order", hash_order(seed, label, key))
-    quota = sizes.select(label, F.lit(n).cast("long").alias("quota"))
+    quota = settled(
+        df.select(label).distinct().withColumn("quota", F.lit(n).cast("long"))
+    )
     cutoffs = hash_cutoffs(ordered, "__order", label, quota)
     return (
         ordered.join(cutoffs, label)

@@ -12,25 +12,21 @@ from lexigrow.session import settled
 def term_stats(df: DataFrame, terms: str = "terms") -> DataFrame:
     """``(term, df, cf)``: documents containing the term, and occurrences.
 
-    Each document's terms are sorted and the first of a run is flagged, so both counts come
-    from one aggregate keyed by the term alone. The map-side combine then ships at most one
-    row per term and task; no row per (document, term) is ever shuffled.
+    Each document's terms are sorted and paired with their predecessor, which tells the first
+    of a run, so both counts come from one aggregate keyed by the term alone. The map-side
+    combine then ships at most one row per term and task; no row per (document, term) is
+    ever shuffled. Sorting and pairing use no lambda, which keeps them in generated code.
     """
-    ordered = F.array_sort(F.col(terms))
-    flagged = F.transform(
-        F.col("__ordered"),
-        lambda term, i: F.struct(
-            term.alias("term"),
-            F.when((i > 0) & (F.get(F.col("__ordered"), i - 1) == term), 0)
-            .otherwise(1)
-            .alias("first"),
-        ),
-    )
+    ordered = df.select(F.sort_array(terms).alias("__s"))
+    shorter = F.slice("__s", F.lit(1), F.greatest(F.size("__s") - 1, F.lit(0)))
+    before = F.concat(F.array(F.lit(None).cast("string")), shorter)
+    runs = unnest(ordered, F.arrays_zip(F.col("__s").alias("term"), before.alias("before")), "t")
+    repeat = F.col("t.term").eqNullSafe(F.col("t.before"))
     return (
-        unnest(df.select(ordered.alias("__ordered")), flagged, "t")
+        runs.where(F.col("t.term").isNotNull())
         .groupBy(F.col("t.term").alias("term"))
         .agg(
-            F.sum(F.col("t.first").cast("long")).alias("df"),
+            F.sum(F.when(repeat, 0).otherwise(1).cast("long")).alias("df"),
             F.count(F.lit(1)).alias("cf"),
         )
     )
@@ -90,7 +86,7 @@ def group_vocabulary(
     Each group holds few terms after pruning (at most ``1 / min_df`` times the mean document
     length when ``min_df`` is a share), so ranking one group in one task is bounded.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_docs"))
+    sizes = settled(df.groupBy(group).agg(F.count(F.lit(1)).alias("n_docs")))
     counts = (
         unnest(df, F.array_distinct(F.col(terms)), "term", keep=[group])
         .groupBy(group, "term")

@@ -36,7 +36,7 @@ def local_session(cores: str = "*", memory: str = "12g", partitions: int = 8) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints and intermediate tables.
+    """The folder for intermediate tables, which cut the lineage of iterative operators.
 
     A cluster names it in ``spark.checkpoint.dir``. Only a local session may fall back to a
     temporary folder; on a cluster executors could not read each other's files there.
@@ -54,12 +54,6 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and drop its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigrow.operators.vocabulary import frequent_words
-from lexigrow.session import cut, scratch_path, settled, shared_dir
+from lexigrow.session import scratch_path, settled, shared_dir
 from lexigrow.sources import tables
 
 
@@ -84,5 +84,4 @@ def test_shared_folder(spark):
     folder = shared_dir(spark)
     assert shared_dir(spark) == folder
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
-    assert cut(spark.range(3)).count() == 3
     assert settled(spark.range(4).withColumn("x", F.lit("a"))).count() == 4
