@@ -87,12 +87,12 @@ def candidate(
         grid = _grid(est, elasticNetParam=[1.0, 0.0], regParam=[strength])
     elif name == "MLP":
         est = MultilayerPerceptronClassifier(
-            **common, layers=[n_features, 100, 2], maxIter=iterations or 500, solver="gd", seed=seed
+            **common, layers=[n_features, 100, 2], maxIter=iterations or 500, seed=seed
+        )
+        # Step sizes only matter to gradient descent; L-BFGS, which needs none, is tried first.
+        grid = _grid(est, solver=["l-bfgs"]) + _grid(
+            est, solver=["gd"], stepSize=[0.001, 0.0001]
         )
-        grid = _grid(est, stepSize=[0.001, 0.0001])
-        if not full:
-            est = est.copy({est.solver: "l-bfgs"})
-            grid = [{}]
     else:
         raise ValueError(f"unknown classifier {name}")
     return Candidate(name, est, grid if full else grid[:1])
