@@ -192,27 +192,28 @@ def run_classifiers(
     """Tune, refit and test each model: ``(models, result rows)``.
 
     ``train`` comes from :func:`training_rows`; ``validation`` has ``label`` and ``features``.
-    The result holds one row per model, so it is built from driver-side summaries.
+    The result holds one row per model, so it is built from driver-side summaries. With a
+    ``save_to`` folder, models found there are loaded instead of fitted and get no new row.
     """
     spark = train.sparkSession
     n_rows = train.count()
     models, rows = {}, []
     for name in names:
+        if save_to is not None and path_exists(spark, model_path(save_to, name)):
+            models[name] = PipelineModel.load(model_path(save_to, name)).stages[0]
+            continue
         cand = candidate(name, n_features, n_rows, full, iterations, seed)
         score, params, model = grid_search(cand, train, folds)
         if save_to is not None:
-            model.write().overwrite().save(model_path(save_to, name))
+            PipelineModel([model]).write().overwrite().save(model_path(save_to, name))
         models[name] = model
         rows.append((name, score, params))
-    tested = held_out_scores(models, validation)
+    fresh = {name: models[name] for name, _, _ in rows}
+    tested = held_out_scores(fresh, validation) if fresh else {}
     rows = [(name, score, tested.get(name), params) for name, score, params in rows]
     return models, spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
-def load_vectorizer(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on the file system that owns it."""
     jvm = spark.sparkContext._jvm
