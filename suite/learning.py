@@ -82,7 +82,9 @@ def classifier_scores(name: str, spark, folder):
         name, len(feature_names(vectorizer)), rows.count(), full=False, iterations=ITERATIONS, seed=SEED
     )
     model = cand.estimator.fit(rows, cand.grid[0])
-    return add_score(model, _all_documents(spark, folder, vectorizer), name).drop("features")
+    column = f"y_pred_prob_{name}"
+    scored = add_score(model, _all_documents(spark, folder, vectorizer), name)
+    return scored.select("doc_id", F.round(column, 6).alias(column))
 
 
 def _trained(spark, folder, names=NAMES, full=False):

@@ -251,7 +251,7 @@ parts AS (
 
 
 # Weights of all labelled documents under the vocabulary of the training part.
-TRAIN_FEATURES = (
+TRAIN_WEIGHTS = (
     "WITH "
     + TERMS
     + ","
@@ -267,14 +267,48 @@ vocab AS (
   ORDER BY cf DESC, term LIMIT 100
 )"""
     + weights("")
+)
+
+TRAIN_FEATURES = (
+    TRAIN_WEIGHTS
     + """
 SELECT p.doc_id, p.toxic, CASE split WHEN 'train' THEN split ELSE 'validation' END AS split,
        CAST(count(term) AS INTEGER) AS n_terms, round(coalesce(sum(w), 0), 6) AS weight_sum
 FROM parts p LEFT JOIN weights USING (doc_id) GROUP BY p.doc_id, p.toxic, split"""
 )
 
+# Gaussian naive Bayes; absent terms count as zeros. A billionth of the largest variance is
+# added to every variance.
+NAIVE_BAYES = (
+    TRAIN_WEIGHTS
+    + """,
+train AS (SELECT doc_id, toxic AS y FROM parts WHERE split = 'train'),
+class_n AS (SELECT y, count(*) AS n FROM train GROUP BY y),
+sums AS (SELECT y, term, sum(w) AS s, sum(w * w) AS q FROM weights JOIN train USING (doc_id)
+         GROUP BY y, term),
+extra AS (SELECT max(q - s * s) * 1e-9 AS e FROM (
+  SELECT term, sum(s) / (SELECT n FROM total) AS s, sum(q) / (SELECT n FROM total) AS q
+  FROM sums GROUP BY term)),
+gauss AS (
+  SELECT c.y, v.term, coalesce(s, 0) / n AS m,
+         coalesce(q, 0) / n - (coalesce(s, 0) / n) * (coalesce(s, 0) / n) + (SELECT e FROM extra) AS var
+  FROM class_n c JOIN vocab v ON true LEFT JOIN sums x ON x.y = c.y AND x.term = v.term
+),
+base AS (SELECT g.y, ln(any_value(n)) - sum(0.5 * ln(var) + m * m / (2 * var)) AS b
+         FROM gauss g JOIN class_n c ON c.y = g.y GROUP BY g.y),
+gain AS (SELECT doc_id, y, sum((m * m - (w - m) * (w - m)) / (2 * var)) AS g
+         FROM weights JOIN gauss USING (term) GROUP BY doc_id, y),
+logs AS (SELECT d.doc_id, b.y, b.b + coalesce(g.g, 0) AS l
+         FROM documents d JOIN base b ON true LEFT JOIN gain g ON g.doc_id = d.doc_id AND g.y = b.y),
+both_logs AS (SELECT doc_id, max(l) FILTER (y = 0) AS l0, max(l) FILTER (y = 1) AS l1
+              FROM logs GROUP BY doc_id)
+SELECT doc_id, round(CASE WHEN l0 - l1 > 700 THEN 0.0 ELSE 1 / (1 + exp(l0 - l1)) END, 6)
+       AS "y_pred_prob_NaiveBayes" FROM both_logs"""
+)
+
 ORACLE = {
     "train_features": TRAIN_FEATURES,
+    "clf_naive_bayes": NAIVE_BAYES,
     "labelled_docs": f"""SELECT doc_id, quality, toxic, len({tokens()}) AS n_tokens
         FROM documents JOIN labels USING (doc_id)""",
     "positive_docs": f"""SELECT doc_id, len({tokens()}) AS n_tokens
