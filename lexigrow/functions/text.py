@@ -51,8 +51,10 @@ def parse_tokens(joined: Column) -> Column:
 
 
 def drop_stopwords(df: DataFrame, column: str, stopwords: Iterable[str] | None) -> DataFrame:
-    """Remove stop words, case-sensitively, keeping token order and repeats."""
+    """Remove stop words, case-sensitively, keeping token order and repeats. A missing token
+    list becomes an empty one."""
     words = list(stopwords or [])
+    df = df.withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
     if not words:
         return df
     kept = f"__{column}_kept"
@@ -105,7 +107,7 @@ def with_terms(
         terms = bigrams(column)
     else:
         terms = F.concat(column, bigrams(column))
-    df = df.withColumn(output, F.coalesce(terms, F.array().cast("array<string>")))
+    df = df.withColumn(output, terms)
     return df if output == tokens else df.drop(tokens)
 
 

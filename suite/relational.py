@@ -5,7 +5,6 @@ Every one has an equivalent in :mod:`suite.oracle`.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +13,6 @@ from lexigrow.functions.text import (
     default_stopwords,
     drop_stopwords,
     glued,
-    itemset_text,
     parse_tokens,
     unnest,
     with_terms,
@@ -27,7 +25,6 @@ from lexigrow.operators.classifiers import NAMES
 from lexigrow.operators.lasso import feature_moments, lasso_matrix
 from lexigrow.operators.metrics import confusion_metrics, roc_auc
 from lexigrow.operators.neighbors import expand_seeds, nearest
-from lexigrow.operators.tfidf import feature_names
 from lexigrow.plans.tfidf_keywords import document_top_terms, tfidf_keywords
 from suite.tables import clusters, documents, labelled, labelled_tokens, table, tokenised
 
@@ -398,8 +395,9 @@ def lasso_moments(spark, folder):
 
 def _neighbours(spark, folder):
     vectors = table(spark, folder, "embeddings")
-    seeds = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"),
-                                         F.min("vec_id").alias("vec_id"))
+    seeds = vectors.groupBy("label").agg(
+        F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("vec_id")
+    )
     return nearest(vectors, seeds, "vec_id", "embedding", 25)
 
 

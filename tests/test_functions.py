@@ -86,9 +86,11 @@ def test_words_keep_case_and_accents(spark):
 
 
 def test_bigram_bridges_stop_word(spark):
-    df = spark.createDataFrame([(["rights", "of", "people"],), (["of"],), ([],)], "terms array<string>")
+    df = spark.createDataFrame([(["rights", "of", "people"],), (["of"],), ([],), (None,)], "terms array<string>")
     found = [r[0] for r in with_terms(df, "terms", ["of"]).collect()]
-    assert found == [["rights", "people", "rights people"], [], []]
+    assert found == [["rights", "people", "rights people"], [], [], []]
+    kept = [r[0] for r in with_terms(df, "terms", ngrams=(2, 2)).collect()]
+    assert kept == [["rights of", "of people"], [], [], []]
 
 
 def test_stop_words_are_case_sensitive(spark):
