@@ -2,32 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from lexigrow.session import settled
 
-LOCAL_EDGES = 100_000
-
 
-def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of the edge table ``(u, v)``; the root is the smallest
     node of its component. Nodes may be of any orderable type.
 
-    Each round links a node's neighbours to its smallest neighbour, first the larger ones,
-    then the smaller ones, until every edge points from a node to its root. A node of many
-    neighbours costs a partial minimum, not a list. A table of at most ``local_edges`` edges,
-    which is checked first, is not worth the rounds and is linked up on the driver.
+    Batches of edges are first thinned to forests where they lie. Each round then links a
+    node's neighbours to its smallest neighbour, first the larger ones, then the smaller ones,
+    until every edge points from a node to its root. A node of many neighbours costs a partial
+    minimum, not a list, and nothing but a row count and a checksum reaches the driver.
     """
-    edges = settled(edges)
-    few = edges.limit(local_edges + 1).collect()
-    if len(few) <= local_edges:
-        return _linked(edges, few)
-    current = edges.where(F.col("u") != F.col("v")).select(
-        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
+    kind = edges.schema["u"].dataType.simpleString()
+    thin = edges.select("u", "v").mapInPandas(_forests, f"u {kind}, v {kind}")
+    current = settled(thin.distinct())
+    nodes = current.select(F.col("u").alias("node")).union(
+        current.select(F.col("v").alias("node"))
     )
-    before = None
+    current = current.where(F.col("u") != F.col("v"))
+    before = _state(current)
     while True:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -41,37 +41,44 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", F.col("m").alias("v"))
         )
-        following = settled(small.where(F.col("u") != F.col("v")).distinct())
-        # Settled when no root has an edge of its own and nothing moved.
-        state = following.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"),
-        ).first()
-        current = following
-        if before == (state["n"], state["sum"]):
+        current = settled(small.where(F.col("u") != F.col("v")).distinct())
+        # Settled when a round changes no edge.
+        after = _state(current)
+        if before == after:
             break
-        before = (state["n"], state["sum"])
-    roots = current.select(F.col("v").alias("node")).distinct()
-    return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-        roots.select("node", F.col("node").alias("root"))
+        before = after
+    found = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return (
+        nodes.distinct()
+        .join(found, "node", "left")
+        .select("node", F.coalesce("root", "node").alias("root"))
     )
 
 
-def _linked(edges: DataFrame, rows: list) -> DataFrame:
-    parent: dict = {}
+def _state(edges: DataFrame) -> tuple:
+    row = edges.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"),
+    ).first()
+    return row["n"], row["sum"]
+
+
+def _forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each batch of edges, one edge from every node to the smallest node it reaches."""
+    for batch in batches:
+        parent: dict = {}
 
-    def find(node):
-        while parent[node] != node:
-            parent[node] = parent[parent[node]]
-            node = parent[node]
-        return node
+        def find(node, parent=parent):
+            while parent[node] != node:
+                parent[node] = parent[parent[node]]
+                node = parent[node]
+            return node
 
-    for u, v in rows:
-        parent.setdefault(u, u)
-        parent.setdefault(v, v)
-        a, b = find(u), find(v)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    node_type = edges.schema["u"].dataType
-    schema = StructType([StructField("node", node_type), StructField("root", node_type)])
-    return edges.sparkSession.createDataFrame([(n, find(n)) for n in parent], schema)
+        for u, v in zip(batch["u"].tolist(), batch["v"].tolist(), strict=True):
+            parent.setdefault(u, u)
+            parent.setdefault(v, v)
+            a, b = find(u), find(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        rows = [(node, find(node)) for node in parent]
+        yield pd.DataFrame(rows, columns=["u", "v"]).astype(batch.dtypes.to_dict())
