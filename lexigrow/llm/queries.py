@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrow.llm import lsh_forest
+from lexigrow.llm import lsh_forest, recompress
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +23,42 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left after windows of 20 words that occur earlier are cut out."""
+    found = recompress.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_removed",
+        F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
+    "op7_recompress": op7_recompress,
     "op10_lsh_forest": op10_lsh_forest,
 }
 
-WORDS = r"regexp_extract_all({text}, '[^ \t\n\x0B\f\r]+')"
-
 ORACLE = {
+    "op7_recompress": r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS ws FROM documents
+), win AS (
+  SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20
+), ranked AS (
+  SELECT doc_id, s, row_number() OVER (
+    PARTITION BY array_to_string(ws[s:s + 19], ' ') ORDER BY doc_id, s) AS k FROM win
+), gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM ranked WHERE k > 1),
+word AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+left_over AS (
+  SELECT word.doc_id, count(gone.i) AS n_removed,
+    coalesce(string_agg(x, ' ' ORDER BY word.i) FILTER (WHERE gone.i IS NULL), '') AS kept
+  FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.i = word.i GROUP BY word.doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN left_over USING (doc_id)
+""",
     "op10_lsh_forest": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
