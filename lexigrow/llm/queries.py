@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrow.llm import lsh_forest, recompress
+from lexigrow.llm import bpe, lsh_forest, mixing, recompress
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,17 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary() -> str:
+    """The vocabulary file that the BPE query encodes with."""
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's tokens and of the text decoded from them."""
+    tokens = bpe.encoded(table(spark, sf_dir, "documents"), vocabulary())
+    return bpe.digests(tokens, vocabulary()).withColumnRenamed("id", "doc_id")
+
+
 def op7_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after windows of 20 words that occur earlier are cut out."""
     found = recompress.without_repeats(table(spark, sf_dir, "documents"))
@@ -34,7 +46,21 @@ def op7_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document."""
+    found = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "size",
+        "source_size",
+        "target",
+        (F.col("size") * F.col("copies")).alias("taken"),
+    )
+
+
 QUERIES = {
+    "op4_bpe": op4_bpe,
+    "op8_mixing": op8_mixing,
     "op7_recompress": op7_recompress,
     "op10_lsh_forest": op10_lsh_forest,
 }
