@@ -149,7 +149,7 @@ def _crossings(offset: Column) -> Column:
     """Whole numbers between a document's running sums, moved by an offset."""
     high = (F.col("high") + offset).cast("decimal(38,0)")
     low = (high - F.col("units")).cast("decimal(38,0)")
-    return F.floor(high / UNIT) - F.floor(low / UNIT)
+    return (F.floor(high / UNIT) - F.floor(low / UNIT)).cast("long")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -166,7 +166,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     }
     names = list(key)
     copies = kept(found.select("id", "print", "source_key", "copies").toDF(*names, "__copies"))
-    once = copies.groupBy(*names).agg(F.max("__copies").alias("__copies"))
+    once = copies.groupBy(*names).agg(F.max("__copies").cast("long").alias("__copies"))
     rows = docs.withColumns(key)
     if copies.count() != once.count():
         rows = rows.dropDuplicates(names)
@@ -177,5 +177,5 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
         & (F.col("__source") == F.col("__s"))
         & F.col("__id").eqNullSafe(F.col("__i"))
     )
-    times = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")
     return rows.join(table, same).select(*docs.columns, times).drop("__copy")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrow.llm import bpe, lsh_forest, mixing, recompress
+from lexigrow.llm import bpe, lsh_forest, mixing, recompress, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,17 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = toxicity.fit(toxicity.labelled_texts(docs, labels.where(~held_out)))
+    scored = docs.select(
+        "doc_id", held_out.alias("held_out"), toxicity.score(F.col("text"), model).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's tokens and of the text decoded from them."""
     tokens = bpe.encoded(table(spark, sf_dir, "documents"), vocabulary())
@@ -59,6 +70,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op4_bpe": op4_bpe,
     "op8_mixing": op8_mixing,
     "op7_recompress": op7_recompress,

@@ -337,30 +337,32 @@ def _repeated_windows(buckets: int):
     return run
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for low in range(0, len(batch), 1000):
-            part = batch.slice(low, 1000)
-            spans = part.column(2).to_pylist()
-            counts, removed, texts = [], [], []
-            for text, blob in zip(part.column(1).to_pylist(), spans, strict=True):
-                words = (text or "").encode().split()
-                counts.append(len(words))
-                if blob:
-                    gone = np.zeros(len(words), dtype=bool)
-                    for a, b in np.frombuffer(blob, np.int64).reshape(-1, 2).tolist():
-                        gone[a:b] = True
-                    removed.append(int(gone.sum()))
-                    words = [words[i] for i in np.flatnonzero(~gone).tolist()]
-                else:
-                    removed.append(0)
-                texts.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()),
-                 pa.array(texts, pa.string()), *(part.column(i) for i in range(3, part.num_columns))],
-                names=["id", "n_words", "n_removed", "kept_text"]
-                + [part.schema.names[i] for i in range(3, part.num_columns)],
-            )
+def _cleaned(as_it_was: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, len(batch), 1000):
+                part = batch.slice(low, 1000)
+                spans = part.column(2).to_pylist()
+                counts, removed, texts = [], [], []
+                for text, blob in zip(part.column(1).to_pylist(), spans, strict=True):
+                    words = text.encode().split()
+                    counts.append(len(words))
+                    if blob:
+                        gone = np.zeros(len(words), dtype=bool)
+                        for a, b in np.frombuffer(blob, np.int64).reshape(-1, 2).tolist():
+                            gone[a:b] = True
+                        removed.append(int(gone.sum()))
+                        words = [words[i] for i in np.flatnonzero(~gone).tolist()]
+                    else:
+                        removed.append(0)
+                    texts.append(text if as_it_was and not blob else b" ".join(words).decode())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()),
+                     pa.array(texts, pa.string()), part.column(3)],
+                    names=["id", "n_words", "n_removed", "kept_text", "row"],
+                )
+
+    return run
 
 
 def without_repeats(
@@ -369,12 +371,14 @@ def without_repeats(
     text_col: str = "text",
     window: int = 20,
     carry: list[str] | None = None,
+    as_it_was: bool = False,
 ) -> DataFrame:
     """``(id, n_words, n_removed, kept_text, row)``: one row for each row of ``docs``.
 
     A word goes if it lies in a window of ``window`` consecutive words whose sequence also
     starts earlier: in a document of smaller id, or before it in the same document. Windows are
-    judged on the texts as given. ``kept_text`` holds the other words, joined by one space.
+    judged on the texts as given. ``kept_text`` holds the other words, joined by one space;
+    with ``as_it_was`` a text that loses nothing stays the same in all its characters.
     ``row`` is a struct of the columns ``carry`` (null without any), so that no name clashes.
 
     Null and empty texts have no words. Rows without an id come after all ids and are told
@@ -417,5 +421,5 @@ def without_repeats(
     marked = base.join(measured(repeats), ["id", "print"], "left")
     kind = base.schema["row"].dataType.simpleString()
     return marked.select(F.col("own").alias("id"), "text", "spans", "row").mapInArrow(
-        _cleaned, f"id long, n_words long, n_removed long, kept_text string, row {kind}"
+        _cleaned(as_it_was), f"id long, n_words long, n_removed long, kept_text string, row {kind}"
     )
