@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrow.llm import bpe, lsh_forest, mixing, recompress, toxicity
+from lexigrow.llm import bpe, chat, lsh_forest, mixing, recompress, reshard, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,35 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(tokens, vocabulary()).withColumnRenamed("id", "doc_id")
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of formatted conversations, read back from the formatted texts."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    done = chat.format_conversations(turns.union(probe))
+    formatted = F.col("formatted")
+    read = done.select(
+        "id",
+        chat.read_roles(formatted).alias("roles"),
+        chat.read_texts(formatted).alias("texts"),
+        F.array_join(chat.loss_texts(formatted, F.col("loss_spans")), "").alias("loss"),
+        F.length(formatted).cast("long").alias("formatted_chars"),
+    )
+    lines = F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit("\n"), t, F.lit("\n")))
+    return read.select(
+        F.col("id").alias("conv_id"),
+        F.size("roles").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op7_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after windows of 20 words that occur earlier are cut out."""
     found = recompress.without_repeats(table(spark, sf_dir, "documents"))
@@ -69,7 +98,23 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes, read back from the new shards."""
+    rows, _ = reshard.reshard(table(spark, sf_dir, "documents"), shards=24)
+    return rows.select(
+        "doc_id",
+        F.col("__size").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        F.col("__shard").cast("int").alias("shard"),
+        F.col("__slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES = {
+    "op5_chat": op5_chat,
+    "op9_reshard": op9_reshard,
     "op1_toxicity": op1_toxicity,
     "op4_bpe": op4_bpe,
     "op8_mixing": op8_mixing,
@@ -78,6 +123,26 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op5_chat": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), piece AS (
+  SELECT *,
+    regexp_replace(role, '[#:]', '\\\0', 'g') AS r2, replace(text, '\', '\\') AS t1,
+    regexp_replace(replace(replace(text, '\', '\\'), '</turn>', '\</turn>'), '#(## )', '\\#\1', 'g') AS t2
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), ''))
+    AS loss_sha256,
+  sum(length(role) + 14 + CASE WHEN contains(text, '</turn>') OR contains(text, '### ')
+    THEN length(t2) ELSE length(t1) END)::BIGINT AS formatted_chars
+FROM piece GROUP BY conv_id
+""",
     "op7_recompress": r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS ws FROM documents
