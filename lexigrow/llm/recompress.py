@@ -50,8 +50,12 @@ PACKED_DDL = (
     "bucket int, ids binary, prints binary, counts binary, places binary, names binary, "
     "tails binary"
 )
-FOUND = pa.schema([("id", pa.int64()), ("print", pa.int64()), ("places", pa.binary())])
-FOUND_DDL = "id long, print long, places binary"
+FOUND = pa.schema(
+    [("home", pa.int32())] + [(n, pa.binary()) for n in ("ids", "prints", "counts", "places")]
+)
+FOUND_DDL = "home int, ids binary, prints binary, counts binary, places binary"
+SPANS = pa.schema([("id", pa.int64()), ("print", pa.int64()), ("spans", pa.binary())])
+SPANS_DDL = "id long, print long, spans binary"
 
 
 def rounds_for(window: int) -> int:
@@ -187,43 +191,43 @@ def _anchors(window: int, buckets: int):
 
 def _entries(table: pa.Table, kind: type) -> tuple[np.ndarray, ...]:
     """All entries of packed rows: id, print, place, name, tail."""
-    column = lambda name: table.column(name).to_pylist()
-    ids = np.frombuffer(b"".join(column("ids")), np.int64)
-    prints = np.frombuffer(b"".join(column("prints")), np.int64)
-    counts = np.frombuffer(b"".join(column("counts")), np.uint32)
-    places = np.concatenate([_unplanes(x) for x in column("places")])
-    names = np.frombuffer(b"".join(column("names")), np.uint32 if kind is np.uint8 else U)
-    tails = np.frombuffer(b"".join(column("tails")), kind)
-    return np.repeat(ids, counts), np.repeat(prints, counts), places, names, tails
-
-
-def _rows(ids: np.ndarray, prints: np.ndarray, places: np.ndarray) -> pa.Table:
-    """A row for each run of entries of one text."""
-    if not len(ids):
-        return FOUND.empty_table()
-    new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1])))
-    lead = np.flatnonzero(new)
-    edges = (np.append(lead, len(ids)) * 4).astype(np.int32)
-    blob = pa.Array.from_buffers(
-        pa.binary(),
-        len(lead),
-        [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(places.astype(np.uint32).tobytes())],
+    names = b"".join(table.column("names").to_pylist())
+    tails = b"".join(table.column("tails").to_pylist())
+    return (
+        *_texts_entries(table),
+        np.frombuffer(names, np.uint32 if kind is np.uint8 else U),
+        np.frombuffer(tails, kind),
     )
-    return pa.table([pa.array(ids[lead]), pa.array(prints[lead]), blob], schema=FOUND)
 
 
-def _known(table: pa.Table) -> pa.Table:
+def _homeward(ids: np.ndarray, prints: np.ndarray, places: np.ndarray, homes: int) -> pa.Table:
+    """Entries packed for the groups that put texts together, a row for each."""
+    key = mix((ids ^ (prints << 1)).astype(U))
+    home = ((key >> U(32)) * U(homes) >> U(32)).astype(np.int32)
+    out: list[list] = []
+    for h, pick in _by_bucket(home, homes):
+        i, p = ids[pick], prints[pick]
+        new = np.concatenate(([True], (i[1:] != i[:-1]) | (p[1:] != p[:-1])))
+        lead = np.flatnonzero(new)
+        counts = np.diff(np.append(lead, len(pick))).astype(np.uint32)
+        out.append([h, i[lead].tobytes(), p[lead].tobytes(), counts.tobytes(), _planes(places[pick])])
+    columns = list(zip(*out, strict=True)) or [[]] * len(FOUND)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
+
+
+def _texts_entries(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Id, print and place of all entries of packed rows."""
     column = lambda name: table.column(name).to_pylist()
     counts = np.frombuffer(b"".join(column("counts")), np.uint32)
     ids = np.repeat(np.frombuffer(b"".join(column("ids")), np.int64), counts)
     prints = np.repeat(np.frombuffer(b"".join(column("prints")), np.int64), counts)
-    return _rows(ids, prints, np.concatenate([_unplanes(x) for x in column("places")]))
+    return ids, prints, np.concatenate([_unplanes(x) for x in column("places")])
 
 
 def _repeated_anchors(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() >= buckets:
-            return _known(table)
+            return _homeward(*_texts_entries(table), buckets)
         ids, prints, places, names, wants = _entries(table, np.uint8)
         order = np.argsort(names, kind="stable")
         equal = names[order][1:] == names[order][:-1]
@@ -231,29 +235,30 @@ def _repeated_anchors(buckets: int):
         twice[order[1:]] |= equal
         twice[order[:-1]] |= equal
         pick = twice & (wants == 1)
-        return _rows(ids[pick], prints[pick], places[pick])
+        return _homeward(ids[pick], prints[pick], places[pick], buckets)
 
     return run
 
 
-def _intervals(before: int, after: int):
-    """Merges the ranges [place - before, place + after) of a text's places; packed pairs."""
+def _spans(before: int, after: int):
+    """Merges the ranges [place - before, place + after) of each text's places; packed pairs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for lists in batch.column(2):
-                places = np.frombuffer(b"".join(lists.as_py()), np.uint32).astype(np.int64)
-                places.sort()
-                low, high = np.maximum(places - before, 0), places + after
-                new = np.concatenate(([True], low[1:] > high[:-1]))
-                edge = np.flatnonzero(new)
-                spans = np.stack([low[edge], high[np.append(edge[1:], len(low)) - 1]], axis=1)
-                out.append(spans.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out, pa.binary())],
-                names=["id", "print", "spans"],
-            )
+    def run(table: pa.Table) -> pa.Table:
+        ids, prints, places = _texts_entries(table)
+        order = np.lexsort((places, prints, ids))
+        ids, prints, places = ids[order], prints[order], places[order].astype(np.int64)
+        other = np.concatenate(([True], (ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1])))
+        low, high = np.maximum(places - before, 0), places + after
+        edge = np.flatnonzero(other | np.concatenate(([True], low[1:] > high[:-1])))
+        spans = np.stack([low[edge], high[np.append(edge[1:], len(low)) - 1]], axis=1)
+        lead = np.flatnonzero(other)
+        cuts_at = np.append(np.searchsorted(edge, lead), len(edge)) * 16
+        blob = pa.Array.from_buffers(
+            pa.binary(),
+            len(lead),
+            [None, pa.py_buffer(cuts_at.astype(np.int32).tobytes()), pa.py_buffer(spans.tobytes())],
+        )
+        return pa.table([pa.array(ids[lead]), pa.array(prints[lead]), blob], schema=SPANS)
 
     return run
 
@@ -328,11 +333,11 @@ def _later(order, name, tail, ids, place) -> np.ndarray:
 def _repeated_windows(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() >= buckets:
-            return _known(table)
+            return _homeward(*_texts_entries(table), buckets)
         ids, prints, places, names, tails = _entries(table, np.uint32)
         order = np.lexsort((places, ids, tails, names))
         pick = _later(order, names, tails, ids, places)
-        return _rows(ids[pick], prints[pick], places[pick])
+        return _homeward(ids[pick], prints[pick], places[pick], buckets)
 
     return run
 
@@ -402,11 +407,8 @@ def without_repeats(
         plain.mapInArrow(_anchors(window, buckets), PACKED_DDL)
         .groupBy("bucket")
         .applyInArrow(_repeated_anchors(buckets), FOUND_DDL)
-        .groupBy("id", "print")
-        .agg(F.collect_list("places").alias("places"))
-        .mapInArrow(
-            _intervals(2**rounds if rounds else 0, 1), "id long, print long, spans binary"
-        )
+        .groupBy("home")
+        .applyInArrow(_spans(2**rounds if rounds else 0, 1), SPANS_DDL)
     )
     suspects = plain.join(measured(revealed), ["id", "print"])
     repeats = (
@@ -414,9 +416,8 @@ def without_repeats(
         .mapInArrow(_windows(window, buckets), PACKED_DDL)
         .groupBy("bucket")
         .applyInArrow(_repeated_windows(buckets), FOUND_DDL)
-        .groupBy("id", "print")
-        .agg(F.collect_list("places").alias("places"))
-        .mapInArrow(_intervals(0, window), "id long, print long, spans binary")
+        .groupBy("home")
+        .applyInArrow(_spans(0, window), SPANS_DDL)
     )
     marked = base.join(measured(repeats), ["id", "print"], "left")
     kind = base.schema["row"].dataType.simpleString()
