@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrow.llm import bpe, chat, lsh_forest, mixing, recompress, reshard, toxicity
+from lexigrow.llm import bpe, chat, lsh_forest, mixing, recompress, reshard, scan_search, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op3_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows by inner product of every twentieth vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    found = scan_search.nearest(rows, F.col("vec_id") % 20 == 0, k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's tokens and of the text decoded from them."""
     tokens = bpe.encoded(table(spark, sf_dir, "documents"), vocabulary())
@@ -113,6 +120,7 @@ def op9_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_scan": op3_scan,
     "op5_chat": op5_chat,
     "op9_reshard": op9_reshard,
     "op1_toxicity": op1_toxicity,
