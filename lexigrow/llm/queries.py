@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrow.llm import bpe, chat, lsh_forest, mixing, recompress, reshard, scan_search, toxicity
+from lexigrow.llm import (
+    bpe,
+    chat,
+    lsh_forest,
+    mixing,
+    nn_descent,
+    recompress,
+    reshard,
+    scan_search,
+    toxicity,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +50,17 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between embeddings of one label with a cosine of 0.93 or more."""
+    found = nn_descent.embedding_links(table(spark, sf_dir, "embeddings"), threshold=0.93)
+    return found.select(
+        F.col("id").alias("vec_id"),
+        "n_links",
+        "component_id",
+        (F.col("id") == F.col("component_id")).alias("kept"),
+    )
+
+
 def op3_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows by inner product of every twentieth vector."""
     rows = table(spark, sf_dir, "embeddings")
@@ -120,6 +141,7 @@ def op9_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_nn_descent": op2_nn_descent,
     "op3_scan": op3_scan,
     "op5_chat": op5_chat,
     "op9_reshard": op9_reshard,
@@ -131,6 +153,26 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_nn_descent": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+), good AS (
+  SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_dot_product(e, e) > 0
+), l AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93
+), reach AS (
+  SELECT DISTINCT u AS a, u AS b FROM l UNION SELECT reach.a, l.v FROM reach JOIN l ON reach.b = l.u
+), root AS (SELECT a, min(b) AS root FROM reach GROUP BY a),
+n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(root.root, vec_id) AS component_id,
+  vec_id = coalesce(root.root, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.u = vec_id LEFT JOIN root ON root.a = vec_id
+""",
     "op5_chat": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
