@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexigrow.llm import (
     bpe,
     chat,
+    context_mixing,
     lsh_forest,
     mixing,
     nn_descent,
@@ -103,6 +104,13 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every document, learnt from those that are not held out."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    found = context_mixing.score_texts(table(spark, sf_dir, "documents"), held_out)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op7_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after windows of 20 words that occur earlier are cut out."""
     found = recompress.without_repeats(table(spark, sf_dir, "documents"))
@@ -141,6 +149,7 @@ def op9_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_context_mixing": op6_context_mixing,
     "op2_nn_descent": op2_nn_descent,
     "op3_scan": op3_scan,
     "op5_chat": op5_chat,
