@@ -8,8 +8,11 @@ many tasks as it needs. Two classes are candidates
 
 1. as neighbours in the first ``LINKING`` sorted lists that share the base prefix: neighbours
    have the longest common prefix there is, so the depth adapts to how dense a region is;
-2. after those are confirmed and linked up, as members of one base prefix in any tree that
-   still belong to different components. Nothing is capped.
+2. after those are confirmed and linked up, as members of one region of any tree that still
+   belong to different components and whose sketches agree as far as chance lets similar sets
+   differ (five standard deviations). A region is a base prefix; where that holds more
+   than ``REGION`` classes, it takes in further bins. The number of candidates is not capped,
+   but pairs that an earlier link of the region connects are skipped, and only links leave it.
 
 Candidates are confirmed on whole sets of 64-bit shingle names. Two sets of exactly the
 threshold 0.8 share no base prefix in any tree with a probability of 2 in 100,000.
@@ -24,13 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrow.llm.store import kept, measured, parts, put
-from lexigrow.llm.words import U, hashed_words, mix, text_slices
+from lexigrow.llm.store import kept, measured, parts
+from lexigrow.llm.words import U, hashed_words, mix, text_slices, tidy
 from lexigrow.operators.components import components
 
 BINS = 256
+#: Cells of the sketch that bins are made of.
+CELL_BITS = 10
+CELLS = 1 << CELL_BITS
 #: Signature bins of the base prefix, trees, and trees whose neighbours are compared first.
-DEPTH, TREES, LINKING = 6, 36, 2
+DEPTH, TREES, LINKING = 6, 36, 3
+#: Classes of a region from which on its prefix grows, by a bin for each further factor of 8.
+REGION = 1024
 _rng = np.random.default_rng(20240501)
 #: For every tree, the bins of its base prefix and the eight that refine the order.
 ORDERS = np.stack([_rng.permutation(BINS)[: DEPTH + 8] for _ in range(TREES)])
@@ -65,29 +73,35 @@ def batch_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
             yield shingle_names(words[first[i] : first[i + 1]], size)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of ``BINS`` bytes for each non-empty sorted set."""
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of ``CELLS`` bytes for each non-empty sorted set: a mark of the least name in
+    each cell of the range of names, 0 for an empty cell."""
     size = np.array([len(s) for s in sets])
     every = np.concatenate(sets)
-    cell = np.repeat(np.arange(len(sets)) * BINS, size) + (every >> U(56)).astype(np.int64)
+    cell = np.repeat(np.arange(len(sets)) * CELLS, size)
+    cell += (every >> U(64 - CELL_BITS)).astype(np.int64)
     lead = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-    out = np.zeros(len(sets) * BINS, dtype=np.uint8)
-    full = np.zeros(len(sets) * BINS, dtype=bool)
-    out[cell[lead]] = (mix(every[lead]) & U(255)).astype(np.uint8)
-    full[cell[lead]] = True
-    out, full = out.reshape(-1, BINS), full.reshape(-1, BINS)
-    own, had = out.copy(), full.copy()
+    out = np.zeros(len(sets) * CELLS, dtype=np.uint8)
+    out[cell[lead]] = (mix(every[lead]) % U(255)).astype(np.uint8) + np.uint8(1)
+    return out.reshape(-1, CELLS)
+
+
+def signatures(marks: np.ndarray) -> np.ndarray:
+    """Min-hash signatures of ``BINS`` bytes from sketches. A bin takes its first full cell;
+    an empty bin borrows from another one."""
+    folded = marks.reshape(len(marks), BINS, CELLS // BINS)
+    first = (folded > 0).argmax(axis=2)
+    out = np.take_along_axis(folded, first[:, :, None], axis=2)[:, :, 0]
+    own, full = out.copy(), out > 0
     row, col = np.nonzero(~full)
-    for attempt in BORROW:
+    for attempt in [*BORROW, None]:
         if not len(row):
             break
-        source = attempt[col]
-        ok = had[row, source]
-        out[row[ok], col[ok]] = own[row[ok], source[ok]] + (BORROW[0][col[ok]] % 7).astype(np.uint8)
+        # With too few shingles for the attempts, the first full bin serves.
+        source = full[row].argmax(axis=1) if attempt is None else attempt[col]
+        ok = full[row, source]
+        out[row[ok], col[ok]] = own[row[ok], source[ok]] + (col[ok] % 7).astype(np.uint8)
         row, col = row[~ok], col[~ok]
-    if len(row):  # too few shingles for the attempts: the first full bin serves
-        source = had[row].argmax(axis=1)
-        out[row, col] = own[row, source] + (BORROW[0][col] % 7).astype(np.uint8)
     return out
 
 
@@ -98,10 +112,11 @@ def _summaries(size: int):
             ("n_shingles", pa.int64()),
             ("h1", pa.int64()),
             ("h2", pa.int64()),
-            ("signature", pa.binary()),
+            ("sketch", pa.binary()),
         ]
     )
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
@@ -113,7 +128,7 @@ def _summaries(size: int):
                 h1, h2 = np.zeros((2, len(sets)), dtype=np.int64)
                 if len(some):
                     full = [sets[i] for i in some]
-                    for i, row in zip(some, signatures(full), strict=True):
+                    for i, row in zip(some, sketches(full), strict=True):
                         marks[i] = row.tobytes()
                     h1[some] = [s.sum().astype(np.int64) for s in full]
                     h2[some] = [mix(s ^ U(0x5851F42D4C957F2D)).sum().astype(np.int64) for s in full]
@@ -123,9 +138,10 @@ def _summaries(size: int):
                     schema=schema,
                 )
 
-    return run, "id long, n_shingles long, h1 long, h2 long, signature binary"
+    return run, "id long, n_shingles long, h1 long, h2 long, sketch binary"
 
 
+@tidy
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for every tree and class: region (tree and base prefix), refinement, id."""
     for batch in batches:
@@ -133,7 +149,8 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not n:
             continue
         ids = np.asarray(batch.column(0))
-        marks = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, BINS)
+        marks = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, CELLS)
+        marks = np.concatenate([signatures(marks[k : k + 500]) for k in range(0, n, 500)])
         region = np.empty((TREES, n), dtype=np.int64)
         rest = np.empty((TREES, n), dtype=np.int64)
         for tree, order in enumerate(ORDERS):
@@ -155,46 +172,97 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by region, rest, id: members of regions with others, and, in the
     first trees, the neighbour before each. The ends of a partition count as shared."""
-    schema = pa.schema([("region", pa.int64()), ("id", pa.int64()), ("before", pa.int64())])
-    last: tuple[int, int] | None = None
-    pending = None  # the last row so far, whose region may go on
+    schema = pa.schema([(n, pa.int64()) for n in ("region", "rest", "id", "before")])
+    held = None  # the last row so far: whether its region goes on is not known yet
     for batch in batches:
-        n = len(batch)
-        if not n:
+        if not len(batch):
             continue
-        region, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        if pending is not None:
-            region = np.concatenate(([pending[0]], region))
-            ids = np.concatenate(([pending[1]], ids))
+        region, rest, ids = (np.asarray(batch.column(k)) for k in range(3))
+        opened, prior = True, -1
+        if held is not None:
+            region, rest, ids = (
+                np.concatenate(([old], new))
+                for old, new in zip(held[:3], (region, rest, ids), strict=True)
+            )
+            opened, prior = held[3:]
         same = region[1:] == region[:-1]
-        joined_before = np.concatenate(([pending is None or pending[2]], same))
-        shared = joined_before.copy()
+        shared = np.concatenate(([opened], same))
+        linked = same & ((region[1:] >> (8 * DEPTH)) < LINKING) & (ids[1:] != ids[:-1])
+        before = np.concatenate(([prior], np.where(linked, ids[:-1], -1)))
+        held = (region[-1], rest[-1], ids[-1], bool(shared[-1]), before[-1])
         shared[:-1] |= same
-        before = np.full(len(ids), -1, dtype=np.int64)
-        has = np.concatenate(([False], same & ((region[1:] >> (8 * DEPTH)) < LINKING)))
-        prior = np.concatenate(([0], ids[:-1]))
-        if pending is not None and pending[3] is not None:
-            has[0], prior[0] = True, pending[3]
-        valid = has & (prior != ids)
         pick = shared[:-1]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(region[:-1][pick]),
+                pa.array(rest[:-1][pick]),
                 pa.array(ids[:-1][pick]),
-                pa.array(prior[:-1][pick], mask=~valid[:-1][pick]),
+                pa.array(before[:-1][pick], mask=before[:-1][pick] < 0),
             ],
             schema=schema,
         )
-        pending = (region[-1], ids[-1], bool(joined_before[-1]), int(prior[-1]) if valid[-1] else None)
-        last = (int(region[-1]), int(ids[-1]))
-    if last is not None:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([last[0]]), pa.array([last[1]]), pa.array([pending[3]], pa.int64())],
-            schema=schema,
-        )
+    if held is not None:
+        last = [pa.array([int(x)]) for x in held[:3]]
+        before = None if held[4] < 0 else int(held[4])
+        yield pa.RecordBatch.from_arrays([*last, pa.array([before], pa.int64())], schema=schema)
+
+
+def _links_within(threshold_percent: int):
+    """Links between members of different components within one region, as few as connect
+    what is linked there.
+
+    Sketches rule out pairs that are surely not similar; the others are compared on their full
+    sets. Cells are a sample without replacement of the union of two sets, so the error of the
+    estimate shrinks to nothing as the cells take in the whole union.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        root = np.asarray(rows.column("root"))
+        schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+        if (root == root[0]).all():
+            return schema.empty_table()
+        ids, root = np.asarray(rows.column("id")), root.copy()
+        sets = [np.frombuffer(x, U) for x in rows.column("names").to_pylist()]
+        sizes, marks = np.array([len(s) for s in sets]), sketches(sets)
+        full = (marks > 0).sum(axis=1)
+        share = threshold_percent / 100
+        u, v = [], []
+        for i in range(len(ids) - 1):
+            low, high = np.minimum(sizes[i + 1 :], sizes[i]), np.maximum(sizes[i + 1 :], sizes[i])
+            open_to = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (low >= share * high))
+            if not len(open_to):
+                continue
+            cells = np.flatnonzero(marks[i])
+            other = marks[np.ix_(open_to, cells)]
+            common = (other == marks[i][cells]).sum(axis=1)
+            seen = full[i] + full[open_to] - (other > 0).sum(axis=1)
+            # A union of similar sets is at most so large, and at least as large as what is seen.
+            union = np.maximum((sizes[i] + sizes[open_to]) / (1 + share), seen)
+            error = 5 * np.sqrt(share * (1 - share) / seen * (1 - seen / union)) + 2 / seen + 0.01
+            near = np.flatnonzero(common >= (share - error) * seen)
+            for j in open_to[near[np.argsort(-common[near] / seen[near], kind="stable")]].tolist():
+                if root[j] != root[i] and _similar(sets[i], sets[j], threshold_percent):
+                    u.append(min(ids[i], ids[j]))
+                    v.append(max(ids[i], ids[j]))
+                    root[root == root[j]] = root[i]
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
+
+    return run
+
+
+def _similar(x: np.ndarray, y: np.ndarray, threshold_percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    low, high = sorted((len(x), len(y)))
+    if 100 * low < threshold_percent * high:
+        return False
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= threshold_percent * (low + high - common)
 
 
 def _sets(size: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
@@ -209,19 +277,15 @@ def _sets(size: int):
 
 
 def _alike(threshold_percent: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(len(batch), dtype=bool)
-            for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(a.as_py(), U), np.frombuffer(b.as_py(), U)
-                low, high = sorted((len(x), len(y)))
-                if 100 * low < threshold_percent * high:
-                    continue
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * common >= threshold_percent * (low + high - common)
-            pick = pa.array(keep)
+            both = zip(batch.column(2), batch.column(3), strict=True)
+            keep = [
+                _similar(np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U), threshold_percent)
+                for a, b in both
+            ]
+            pick = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(pick), batch.column(1).filter(pick)], names=["u", "v"]
             )
@@ -229,15 +293,20 @@ def _alike(threshold_percent: int):
     return run
 
 
+def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """``(id, names)``: the sets of the documents whose ids are given. ``docs``: id, text."""
+    some = docs.join(measured(ids.distinct()), "id", "left_semi").dropDuplicates(["id"])
+    return kept(some.mapInArrow(_sets(size), "id long, names binary"))
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, size: int, threshold_percent: int) -> DataFrame:
     """Those pairs ``(u, v)`` of ids whose full sets are similar enough. ``docs``: id, text.
 
     Only documents in pairs are turned into sets, and a set moves once for each of its pairs.
     """
-    pairs, _ = put(pairs)
+    pairs = kept(pairs)
     wanted = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id")))
-    some = docs.join(measured(wanted.distinct()), "id", "left_semi")
-    sets = kept(some.dropDuplicates(["id"]).mapInArrow(_sets(size), "id long, names binary"))
+    sets = full_sets(docs, wanted, size)
     left = sets.select(F.col("id").alias("u"), F.col("names").alias("left_names"))
     right = sets.select(F.col("id").alias("v"), F.col("names").alias("right_names"))
     joined = pairs.join(left, "u").join(right, "v")
@@ -271,41 +340,42 @@ def near_duplicates(
     classes = some.groupBy(*key).agg(F.min("id").alias("first"), F.max("id").alias("last"))
     copies = measured(classes.where("first < last").drop("last"))
     members = found.join(copies, key, "left").select(
-        "id", "n_shingles", F.coalesce("first", "id").alias("class"), "signature"
+        "id", "n_shingles", F.coalesce("first", "id").alias("class"), "sketch"
     )
     members = kept(
-        members.withColumn("signature", F.when(F.col("class") == F.col("id"), F.col("signature")))
+        members.withColumn("sketch", F.when(F.col("class") == F.col("id"), F.col("sketch")))
     )
-    singles = members.where("signature is not null").select("id", "signature")
+    singles = members.where("sketch is not null").select("id", "sketch")
     forest = kept(singles.mapInArrow(_forest, "region long, rest long, id long"))
     regions = kept(
         forest.repartitionByRange(parts(spark), "region", "rest", "id")
         .sortWithinPartitions("region", "rest", "id")
-        .select("region", "id")
-        .mapInArrow(_neighbours, "region long, id long, before long")
+        .mapInArrow(_neighbours, "region long, rest long, id long, before long")
     )
     first = regions.where("before is not null").select(
         F.least("id", "before").alias("u"), F.greatest("id", "before").alias("v")
     )
     links = kept(confirmed(texts, first.distinct(), shingle_words, threshold_percent))
     roots = measured(components(links))
-    placed = regions.select("region", "id").join(
+    placed = regions.select("region", "rest", "id").join(
         roots.select(F.col("node").alias("id"), "root"), "id", "left"
     )
-    placed = kept(placed.select("region", "id", F.coalesce("root", "id").alias("root")))
-    mixed = placed.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = measured(mixed.where("low < high").select("region"))
-    open_rows = placed.join(mixed, "region", "left_semi")
-    others = open_rows.select("region", F.col("id").alias("v"), F.col("root").alias("other"))
-    second = (
-        open_rows.withColumnRenamed("id", "u")
-        .join(others, "region")
-        .where(F.col("root") < F.col("other"))
-        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        .distinct()
-        .join(first.distinct(), ["u", "v"], "left_anti")
+    placed = kept(placed.select("region", "rest", "id", F.coalesce("root", "id").alias("root")))
+    mixed = placed.groupBy("region").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows")
+    )
+    deeper = F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / REGION) / 3)).cast("int")
+    prefix = F.expr("shiftright(rest, 64 - 8 * least(deeper, 8))")
+    mixed = measured(mixed.where("low < high").select("region", deeper.alias("deeper")))
+    open_rows = placed.join(mixed, "region").withColumn(
+        "sub", F.when(F.col("deeper") > 0, prefix).otherwise(0)
+    )
+    open_rows = kept(open_rows.select("region", "sub", "id", "root"))
+    more = kept(
+        open_rows.join(full_sets(texts, open_rows.select("id"), shingle_words), "id")
+        .groupBy("region", "sub")
+        .applyInArrow(_links_within(threshold_percent), "u long, v long")
     )
-    more = kept(confirmed(texts, second, shingle_words, threshold_percent))
     copy_links = members.where("class <> id").select(F.col("id").alias("u"), F.col("class").alias("v"))
     # Rows of one id may differ in text; the links of all of them count.
     joined = components(links.union(more).union(copy_links.distinct()))

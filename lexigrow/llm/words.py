@@ -7,7 +7,9 @@ have equal hashes everywhere, so hashes serve as names without a dictionary.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,3 +115,26 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np
     """Word hashes and each text's first word; ``lower`` maps A-Z to a-z before."""
     starts, ends, first = word_spans(data, offsets)
     return span_hashes(LOWER[data] if lower else data, starts, ends), first
+
+
+def give_back() -> None:
+    """Returns freed memory of this worker to the system. Workers live on between tasks, and
+    what they hold on to counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A map over batches that gives memory back when its task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
