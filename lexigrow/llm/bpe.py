@@ -7,7 +7,7 @@ leaves and the nodes above them, and merges go on until the root holds no pair.
 
 All pieces of a batch that a task has not met before are encoded together: pieces of like length
 are rows of one array, and every step of the tree is a numpy operation over all rows. Longer
-pieces get a tree of their own. Results are remembered by piece, up to ``REMEMBERED`` pieces.
+pieces get a tree of their own. A task remembers the results of about ``REMEMBERED`` pieces.
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrow.llm.words import tidy
+
 # Fixed value: how this vocabulary's tokenizer splits a text before merging.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Pieces of up to so many bytes share arrays; at once, rows * places stay below CELLS.
 SHARED_BYTES, CELLS = 64, 1 << 20
 NONE = np.int64(1) << 62
@@ -72,7 +74,10 @@ class Codec:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, ordered)) + ")") if special else None
         self.split = regex.compile(PIECES).findall
         self.decimal = [str(i) for i in range(len(self.bytes_of))]
-        self.known: dict[str, tuple[int, ...]] = {}
+        letters_of = self.first[np.arange(256)]
+        self.letter_ranks = self.pair_ranks(letters_of[:, None], letters_of[None, :])
+        #: Token numbers by piece, as packed 32-bit numbers.
+        self.known: dict[str | int, bytes] = {}
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge ranks of pairs, ``NONE`` where a pair does not merge or a side is missing."""
@@ -80,17 +85,18 @@ class Codec:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((left >= 0) & (right >= 0) & (self.keys[at] == key), self.ranks[at], NONE)
 
-    def merge_rows(self, symbols: np.ndarray) -> np.ndarray:
-        """Merges every row of an array of symbols, whose width is a power of two and whose
-        free places hold -1; merged-away places become -1."""
-        rows, width = symbols.shape
+    def merge_rows(self, letters: np.ndarray, used: np.ndarray) -> np.ndarray:
+        """The symbols of every row of an array of bytes, whose width is a power of two, after
+        all merges; places that are not used or merged away hold -1."""
+        rows, width = letters.shape
+        symbols = np.where(used, self.first[letters], -1)
         bits = width.bit_length() - 1
         place = np.arange(width)
         after = np.tile(place + 1, (rows, 1))
         before = np.tile(place - 1, (rows, 1))
         tree = np.full((rows, 2 * width), NONE, dtype=np.int64)
         if width > 1:
-            rank = self.pair_ranks(symbols[:, :-1], symbols[:, 1:])
+            rank = np.where(used[:, 1:], self.letter_ranks[letters[:, :-1], letters[:, 1:]], NONE)
             tree[:, width : 2 * width - 1] = np.where(rank < NONE, (rank << bits) | place[:-1], NONE)
         for level in range(bits - 1, -1, -1):
             low, high = 1 << level, 2 << level
@@ -179,18 +185,18 @@ class Codec:
                                  [raw[i] for i in fits[low : low + step]], width)
             width *= 2
         for i in np.flatnonzero(size > SHARED_BYTES):
-            self.known[pieces[i]] = self.merge_long(raw[i])
+            self.known[pieces[i]] = np.array(self.merge_long(raw[i]), dtype=np.int32).tobytes()
 
     def _learn_rows(self, pieces: list[str], raw: list[bytes], width: int) -> None:
-        size = np.array([len(b) for b in raw])
-        symbols = np.full((len(raw), width), -1, dtype=np.int64)
-        symbols[np.arange(width) < size[:, None]] = self.first[np.frombuffer(b"".join(raw), np.uint8)]
-        symbols = self.merge_rows(symbols)
+        used = np.arange(width) < np.array([len(b) for b in raw])[:, None]
+        letters = np.zeros((len(raw), width), dtype=np.uint8)
+        letters[used] = np.frombuffer(b"".join(raw), np.uint8)
+        symbols = self.merge_rows(letters, used)
         live = symbols >= 0
-        flat, ends = symbols[live].tolist(), np.cumsum(live.sum(axis=1)).tolist()
+        flat, ends = symbols[live].astype(np.int32).tobytes(), np.cumsum(live.sum(axis=1)) * 4
         low = 0
-        for piece, high in zip(pieces, ends, strict=True):
-            self.known[piece] = tuple(flat[low:high])
+        for piece, high in zip(pieces, ends.tolist(), strict=True):
+            self.known[piece] = flat[low:high]
             low = high
 
     def pieces(self, text: str) -> list:
@@ -214,10 +220,10 @@ class Codec:
         numbers = [p for p in new if isinstance(p, int)]
         new.difference_update(numbers)
         self.learn(list(new))
-        self.known.update({n: (n,) for n in numbers})
+        self.known.update({n: np.int32(n).tobytes() for n in numbers})
         find = self.known.__getitem__
         for pieces in cut:
-            yield np.fromiter(chain.from_iterable(map(find, pieces)), dtype=np.int32)
+            yield np.frombuffer(b"".join(map(find, pieces)), np.int32)
 
     def decode(self, numbers: list[int]) -> bytes:
         """The bytes of a list of token numbers."""
@@ -252,6 +258,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     has no tokens, and ids may repeat or be null. Only the two columns are read.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
         for batch in batches:
@@ -265,6 +272,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                     [batch.column(0).slice(low, len(texts)), lists], names=["id", "ids"]
                 )
                 low += len(texts)
+        coder.known.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
@@ -273,13 +281,15 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 
 def _number_lists(column: pa.Array) -> Iterator[list[int]]:
-    for row in column:
-        yield row.values.to_pylist() if row.is_valid else []
+    flat, edges = np.asarray(column.values), np.asarray(column.offsets).tolist()
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        yield flat[low:high].tolist()
 
 
 def decoded(tokens: DataFrame, path: str) -> DataFrame:
     """``(id, text)`` from ``(id, ids)``; bytes that are no UTF-8 become U+FFFD."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
         for batch in batches:
@@ -296,6 +306,7 @@ def digests(tokens: DataFrame, path: str) -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)`` from ``(id, ids)``: hex digests of the
     decimal numbers joined by commas and of the decoded text."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
         sha = hashlib.sha256

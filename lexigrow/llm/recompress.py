@@ -14,7 +14,7 @@ the *anchor*: the name of the ``window - 2 ** rounds`` words that follow. So
 2. only windows there are named by 96 bits and exchanged; the earliest of each name stays;
 3. each text gets its list of repeated windows back and loses the words they cover.
 
-In both exchanges a task sends one entry for each name in four megabytes of text, however often
+In both exchanges a task sends one entry for each name in two megabytes of text, however often
 it occurs there, so a passage that very many documents share makes no large group. Entries
 travel packed in arrays, a row for each bucket of names; buckets grow in number with the text.
 """
@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrow.llm.store import measured, parts
-from lexigrow.llm.words import U, hashed_words, mix, powers, text_slices
+from lexigrow.llm.words import U, hashed_words, mix, powers, text_slices, tidy
 
 #: Text that is named and thinned out at once, and text for each bucket of names, in bytes.
-STEP, BUCKET = 4 << 20, 24 << 20
+STEP, BUCKET = 2 << 20, 24 << 20
 LAST_ID = np.iinfo(np.int64).max
 
 PACKED = pa.schema(
@@ -149,6 +149,7 @@ def _anchors(window: int, buckets: int):
     rounds = rounds_for(window)
     reach = window - (2**rounds if rounds else 0)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, prints = np.asarray(batch.column(0)), np.asarray(batch.column(1))
@@ -282,6 +283,7 @@ def _windows(window: int, buckets: int):
     """Maps texts with suspect starts to packed windows, the earliest of each name in a step;
     later ones are known to repeat and go to bucket numbers from ``buckets`` on."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, prints = np.asarray(batch.column(0)), np.asarray(batch.column(1))
@@ -343,6 +345,7 @@ def _repeated_windows(buckets: int):
 
 
 def _cleaned(as_it_was: bool):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, len(batch), 1000):

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrow.llm.store import kept
-from lexigrow.llm.words import LOWER, U, span_hashes, text_slices, word_spans
+from lexigrow.llm.words import LOWER, U, give_back, span_hashes, text_slices, tidy, word_spans
 
 BITS = 18
 PREFIXES = (4, 5, 6)
@@ -70,6 +70,7 @@ def _batch_features(column: pa.Array) -> Iterator[np.ndarray]:
             yield found[found >= 0]
 
 
+@tidy
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The number of texts with each feature, by label, of one partition: a row for each
     feature seen."""
@@ -101,6 +102,7 @@ def _swapped(text: str, terms: tuple[str, ...]) -> str | None:
 def _examples(chosen: np.ndarray, terms: tuple[str, ...]):
     """Chosen features of each labelled text and of its counterfactual copy."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = np.zeros(1 << BITS, dtype=bool)
         use[chosen] = True
@@ -228,6 +230,7 @@ def score(text: Column, model: Model) -> Column:
             both = np.unique((row << BITS) | slots[kind, word])
             gain = np.bincount(both >> BITS, table[both & ((1 << BITS) - 1)], minlength=stop - start)
             out[start:stop] += gain
+        give_back()
         return pa.array(1 / (1 + np.exp(-np.clip(out, -50, 50))))
 
     return scored(text)
