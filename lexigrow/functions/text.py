@@ -39,15 +39,24 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(1))
 
 
+# A whole list literal of quoted strings and numbers; possessive, so long lists are no burden.
+_MEMBER = r"""(?:'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+"|-?\d++(?:\.\d++)?)"""
+LIST_PATTERN = rf"(?s)\A\s*+\[\s*+(?:{_MEMBER}(?:\s*+,\s*+{_MEMBER})*+\s*+)?\]\s*+\z"
+
+
 def parse_tokens(joined: Column) -> Column:
     """Tokens from either stored form: a quoted list such as ``['a', "b's"]``, or words
-    separated by single spaces. Decided per row."""
+    separated by single spaces. Decided per row: a text is a list only if all of it is one, so
+    prose that starts with a bracket is split. ``\\xe9`` in a list stands for that character."""
+    unescaped = F.regexp_replace(
+        joined, r"(?<!\\)((?:\\\\)*)\\x([0-9A-Fa-f]{2})", r"$1\\u00$2"
+    )
     as_list = F.from_json(
-        joined,
+        unescaped,
         "array<string>",
         {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"},
     )
-    return F.coalesce(F.when(joined.startswith("["), as_list), F.split(joined, " "))
+    return F.coalesce(F.when(joined.rlike(LIST_PATTERN), as_list), F.split(joined, " "))
 
 
 def drop_stopwords(df: DataFrame, column: str, stopwords: Iterable[str] | None) -> DataFrame:

@@ -99,11 +99,14 @@ def candidate(
 
 
 def training_rows(
-    features: DataFrame, label: str, key: str, folds: int = 5, threshold: int = 100_000,
-    per_class: int = 50_000, seed: int = 7,
+    features: DataFrame, label: str, key: str, folds: int = 5,
+    threshold: int | None = 100_000, per_class: int = 50_000, seed: int = 7,
 ) -> DataFrame:
-    """Balanced-size sample with weight and fold columns, written once for all fits."""
-    rows = sample_per_class(features, label, key, per_class, threshold, seed)
+    """Rows to fit on, with weight and fold columns, written once for all fits. A table of more
+    than ``threshold`` rows is cut to ``per_class`` of each class; ``None`` uses all rows."""
+    rows = features
+    if threshold is not None:
+        rows = sample_per_class(features, label, key, per_class, threshold, seed)
     rows = stratified_folds(class_weights(rows, label), label, key, folds, seed)
     return settled(rows.withColumn("label", F.col(label).cast("double")))
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from lexigrow.session import settled
 
@@ -15,13 +16,15 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of the edge table ``(u, v)``; the root is the smallest
     node of its component. Nodes may be of any orderable type.
 
-    Batches of edges are first thinned to forests where they lie. Each round then links a
+    Batches of edges between plain nodes are first thinned to forests where they lie. Each round then links a
     node's neighbours to its smallest neighbour, first the larger ones, then the smaller ones,
     until every edge points from a node to its root. A node of many neighbours costs a partial
     minimum, not a list, and nothing but a row count and a checksum reaches the driver.
     """
-    kind = edges.schema["u"].dataType.simpleString()
-    thin = edges.select("u", "v").mapInPandas(_forests, f"u {kind}, v {kind}")
+    thin = edges.select("u", "v")
+    if isinstance(edges.schema["u"].dataType, (IntegralType, StringType)):
+        kind = edges.schema["u"].dataType.simpleString()
+        thin = thin.mapInPandas(_forests, f"u {kind}, v {kind}")
     current = settled(thin.distinct())
     nodes = current.select(F.col("u").alias("node")).union(
         current.select(F.col("v").alias("node"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrow.functions.text import word_tokens
-from lexigrow.sources.tables import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,7 +15,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, lang, text`` with the text lowered."""
     docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
-    return spread(docs).withColumn("text", F.lower("text"))
+    return docs.withColumn("text", F.lower("text"))
 
 
 def tokenised(spark: SparkSession, folder: str) -> DataFrame:

@@ -105,3 +105,21 @@ def test_itemset_text_rounds_half_even(spark):
     )
     found = [r[0] for r in df.select(itemset_text(F.col("i"), F.col("s"))).collect()]
     assert found == ["(a,b, 0.12)", "(x, 0.5)", "(x, 1.0)", "(x, 0.38)"]
+
+
+def test_only_whole_lists_are_lists(spark):
+    from lexigrow.functions.text import parse_tokens
+
+    cases = {
+        "[1] see the report": ["[1]", "see", "the", "report"],
+        "[] foo bar": ["[]", "foo", "bar"],
+        "['x'] trailing words": ["['x']", "trailing", "words"],
+        "['a', \"b's\"]": ["a", "b's"],
+        " [ 'a' , 'b' ] ": ["a", "b"],
+        "[]": [],
+        r"['caf\xe9']": ["café"],
+        "[" + "'w', " * 20000 + "'w']": ["w"] * 20001,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "joined string")
+    got = df.select("joined", parse_tokens(F.col("joined")).alias("tokens")).collect()
+    assert {r["joined"]: r["tokens"] for r in got} == cases
