@@ -28,9 +28,9 @@ from lexigrow.llm.words import tidy
 
 # Fixed value: how this vocabulary's tokenizer splits a text before merging.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: Pieces of up to so many bytes share arrays; at once, rows * places stay below CELLS.
-SHARED_BYTES, CELLS = 64, 1 << 20
+SHARED_BYTES, CELLS = 64, 1 << 18
 NONE = np.int64(1) << 62
 
 

@@ -20,6 +20,8 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that one numpy step works on; a longer text is a step of its own.
 SLICE = 1 << 20
+#: Rows that are converted at once.
+ROWS = 4096
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -53,23 +55,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 def text_slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple]:
     """``(first row, row after the last, bytes, offsets)`` for runs of rows of a string column.
 
-    A null text counts as empty. A run has about ``limit`` bytes, or is one longer text.
+    A null text counts as empty. A run has at most ``limit`` bytes, or is one longer text.
     """
-    column = pc.cast(column, pa.large_binary())
-    if column.null_count:
-        column = pc.fill_null(column, b"")
-    rows = len(column)
-    if not rows:
-        return
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + rows + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    start = 0
-    while start < rows:
-        stop = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
-        stop = min(rows, max(start + 1, stop))
-        low = offsets[start]
-        yield start, stop, data[low : offsets[stop]], offsets[start : stop + 1] - low
-        start = stop
+    for low in range(0, len(column), ROWS):
+        part = pc.cast(column.slice(low, ROWS), pa.large_binary())
+        if part.null_count:
+            part = pc.fill_null(part, b"")
+        rows = len(part)
+        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + rows + 1]
+        data = np.frombuffer(part.buffers()[2] or b"", np.uint8)
+        start = 0
+        while start < rows:
+            stop = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
+            stop = min(rows, max(start + 1, stop))
+            first = offsets[start]
+            yield low + start, low + stop, data[first : offsets[stop]], offsets[start : stop + 1] - first
+            start = stop
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
