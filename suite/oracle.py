@@ -316,6 +316,11 @@ ORACLE = {
     "lower_text": "SELECT doc_id, md5(lower(text)) AS text_md5 FROM documents",
     "tokens_space": f"""SELECT doc_id, {TEXT_SIZE}
         FROM (SELECT doc_id, string_split(text, ' ') AS toks FROM documents)""",
+    "tokens_mixed": f"""SELECT doc_id, form, {TEXT_SIZE} FROM (
+        SELECT doc_id, 'list' AS form, CASE WHEN len(found) = 0 THEN [''] ELSE found END AS toks
+        FROM (SELECT doc_id, {tokens().replace("lower(text)", "text")} AS found FROM documents)
+        UNION ALL
+        SELECT doc_id, 'prose', string_split('[' || doc_id || '] ' || text, ' ') FROM documents)""",
     "tokens_words": f"""SELECT doc_id, {TEXT_SIZE}
         FROM (SELECT doc_id, {tokens()} AS toks FROM documents)""",
     "stopword_filter": f"""WITH {WORDS}, lists AS (
@@ -438,6 +443,22 @@ ORACLE = {
         SELECT x.tok || ' ' || y.tok, count(*) FROM common x JOIN common y
           ON x.doc_id = y.doc_id AND x.tok < y.tok GROUP BY x.tok, y.tok
         HAVING count(*) >= ceil(0.1 * (SELECT n FROM n))""",
+    "fpgrowth_triples": f"""WITH {WORDS},
+        present AS (SELECT DISTINCT doc_id, tok FROM kept),
+        n AS (SELECT ceil(0.12 * count(*)) AS least FROM documents),
+        one AS (SELECT tok, count(*) AS freq FROM present GROUP BY tok
+                HAVING count(*) >= (SELECT least FROM n)),
+        common AS (SELECT p.* FROM present p JOIN one USING (tok))
+        SELECT tok AS items, freq FROM one
+        UNION ALL
+        SELECT x.tok || ' ' || y.tok, count(*) FROM common x JOIN common y
+          ON x.doc_id = y.doc_id AND x.tok < y.tok GROUP BY x.tok, y.tok
+        HAVING count(*) >= (SELECT least FROM n)
+        UNION ALL
+        SELECT x.tok || ' ' || y.tok || ' ' || z.tok, count(*) FROM common x JOIN common y
+          ON x.doc_id = y.doc_id AND x.tok < y.tok JOIN common z
+          ON z.doc_id = y.doc_id AND y.tok < z.tok GROUP BY x.tok, y.tok, z.tok
+        HAVING count(*) >= (SELECT least FROM n)""",
     "lasso_input": LASSO_ROWS + " SELECT doc_id, y, fold FROM lasso_rows",
     "lasso_moments": LASSO_ROWS
     + weights("WHERE doc_id IN (SELECT doc_id FROM lasso_rows)")

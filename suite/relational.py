@@ -61,6 +61,27 @@ def tokens_space(spark, folder):
     )
 
 
+def tokens_mixed(spark, folder):
+    """Every text as a quoted list of its words, and as prose after a bracket."""
+    raw = table(spark, folder, "documents").select("doc_id", "text")
+    words = F.array_join(word_tokens(F.col("text")), "', '")
+    listed = raw.select(
+        "doc_id", F.lit("list").alias("form"), F.concat(F.lit("['"), words, F.lit("']")).alias("t")
+    )
+    prose = raw.select(
+        "doc_id",
+        F.lit("prose").alias("form"),
+        F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("] "), "text").alias("t"),
+    )
+    tokens = listed.union(prose).select("doc_id", "form", parse_tokens(F.col("t")).alias("tokens"))
+    return tokens.select(
+        "doc_id",
+        "form",
+        F.size("tokens").alias("n_tokens"),
+        F.md5(F.array_join("tokens", "|")).alias("tokens_md5"),
+    )
+
+
 def tokens_words(spark, folder):
     return tokenised(spark, folder).select(
         "doc_id",
@@ -373,6 +394,13 @@ def fpgrowth_itemsets(spark, folder):
     return found.select(glued(F.col("items"), " ").alias("items"), "freq")
 
 
+def fpgrowth_triples(spark, folder):
+    """Sets of up to three words, from baskets that repeat words."""
+    docs = drop_stopwords(tokenised(spark, folder), "tokens", default_stopwords())
+    found = its.frequent_itemsets(docs.select("tokens"), "tokens", min_support=0.12, max_len=3)
+    return found.select(glued(F.col("items"), " ").alias("items"), "freq")
+
+
 # -- lasso and neighbours
 
 
@@ -416,6 +444,7 @@ QUERIES = {
     "positive_docs": positive_docs,
     "lower_text": lower_text,
     "tokens_space": tokens_space,
+    "tokens_mixed": tokens_mixed,
     "tokens_words": tokens_words,
     "stopword_filter": stopword_filter,
     "ngram_counts": ngram_counts,
@@ -455,6 +484,7 @@ QUERIES = {
     "cluster_summary": cluster_summary,
     "itemset_presence": itemset_presence,
     "fpgrowth_itemsets": fpgrowth_itemsets,
+    "fpgrowth_triples": fpgrowth_triples,
     "lasso_input": lasso_input,
     "lasso_moments": lasso_moments,
     "cosine_topk": cosine_topk,
