@@ -64,14 +64,6 @@ def build_vocabulary(
     return settled(top_terms(pruned, max_features))
 
 
-def vocabulary_terms(vocabulary: DataFrame) -> list[str]:
-    """The terms in alphabetical order, which is also their feature index.
-
-    Only for vocabularies capped by ``max_features``.
-    """
-    return [row["term"] for row in vocabulary.select("term").orderBy("term").collect()]
-
-
 def group_vocabulary(
     df: DataFrame,
     group: str,

@@ -81,3 +81,17 @@ def test_cosine_job(spark, base):
     first = jobs.cosine_job(spark, str(base / "corpus.txt"), ["march", "beach"], **options)
     again = jobs.cosine_job(spark, str(base / "corpus.txt"), ["march", "beach"], **options)
     assert {r[0] for r in first.collect()} == {r[0] for r in again.collect()}
+
+
+def test_stop_words_and_seeds_from_files(spark, base):
+    stop = base / "stop.txt"
+    stop.write_text("march\nrights\n")
+    words = jobs.tfidf_job(spark, str(base), min_df=5, max_df=0.6, stopwords=str(stop))
+    found = {r["keyword"] for r in words.collect()}
+    assert "protest" in found and not {"march", "rights"} & found
+    seeds = base / "seeds.csv"
+    seeds.write_text("hashtags\tmovement\nmarch\tx\nbeach\ty\n")
+    options = {"size": 20, "min_count": 2, "topn": 5, "partitions": 1}
+    out = str(base / "neighbours")
+    near = jobs.cosine_job(spark, str(base / "corpus.txt"), str(seeds), out=out, **options)
+    assert spark.read.csv(out, sep="\t", header=True).count() == near.count() > 0
