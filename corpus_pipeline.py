@@ -54,7 +54,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token numbers of every document as digests, with the text that they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.digests(bpe.encoded(docs, path), path).withColumnRenamed("id", "doc_id")
+    return bpe.round_trip(docs, path).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

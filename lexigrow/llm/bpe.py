@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrow.llm.store import small_batches
 from lexigrow.llm.words import tidy
 
 # Fixed value: how this vocabulary's tokenizer splits a text before merging.
@@ -274,6 +275,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 low += len(texts)
         coder.known.clear()
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"id {kind}, ids array<int>"
@@ -302,6 +304,24 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select("id", "ids").mapInArrow(run, f"id {kind}, text string")
 
 
+def _digests(coder: Codec, numbers: list[int]) -> tuple[int, str, str]:
+    joined = ",".join(map(coder.decimal.__getitem__, numbers))
+    text = coder.decode(numbers).decode("utf-8", "replace")
+    sha = hashlib.sha256
+    return len(numbers), sha(joined.encode()).hexdigest(), sha(text.encode()).hexdigest()
+
+
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digest_batch(ids: pa.Array, rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
+    count, numbers, texts = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array(count, pa.int64()), pa.array(numbers, pa.string()), pa.array(texts, pa.string())],
+        names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    )
+
+
 def digests(tokens: DataFrame, path: str) -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)`` from ``(id, ids)``: hex digests of the
     decimal numbers joined by commas and of the decoded text."""
@@ -309,21 +329,31 @@ def digests(tokens: DataFrame, path: str) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
-        sha = hashlib.sha256
         for batch in batches:
-            count, numbers, texts = [], [], []
-            for row in _number_lists(batch.column(1)):
-                count.append(len(row))
-                joined = ",".join(map(coder.decimal.__getitem__, row))
-                numbers.append(sha(joined.encode()).hexdigest())
-                text = coder.decode(row).decode("utf-8", "replace")
-                texts.append(sha(text.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(count, pa.int64()), pa.array(numbers), pa.array(texts)],
-                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            rows = [_digests(coder, n) for n in _number_lists(batch.column(1))]
+            yield _digest_batch(batch.column(0), rows)
 
     kind = tokens.schema["id"].dataType.simpleString()
-    return tokens.select("id", "ids").mapInArrow(
-        run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return tokens.select("id", "ids").mapInArrow(run, f"id {kind}, {DIGESTS}")
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same for texts: what ``digests(encoded(docs))`` returns, in one pass and one worker.
+    Every text is encoded, and its numbers are decoded."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = codec(path)
+        for batch in batches:
+            low = 0
+            for texts in text_groups(batch.column(1)):
+                rows = [_digests(coder, numbers.tolist()) for numbers in coder.encode(texts)]
+                yield _digest_batch(batch.column(0).slice(low, len(texts)), rows)
+                low += len(texts)
+        coder.known.clear()
+
+    small_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        run, f"id {kind}, {DIGESTS}"
     )

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrow.llm.store import kept, measured, parts
+from lexigrow.llm.store import kept, measured, parts, small_batches
 from lexigrow.llm.words import U, hashed_words, mix, text_slices, tidy
 from lexigrow.operators.components import components
 
@@ -331,6 +331,7 @@ def near_duplicates(
     ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = texts.where(F.col("id").isNotNull())
     run, schema = _summaries(shingle_words)

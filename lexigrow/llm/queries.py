@@ -71,8 +71,8 @@ def op3_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's tokens and of the text decoded from them."""
-    tokens = bpe.encoded(table(spark, sf_dir, "documents"), vocabulary())
-    return bpe.digests(tokens, vocabulary()).withColumnRenamed("id", "doc_id")
+    docs = table(spark, sf_dir, "documents")
+    return bpe.round_trip(docs, vocabulary()).withColumnRenamed("id", "doc_id")
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

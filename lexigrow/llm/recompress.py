@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrow.llm.store import measured, parts
+from lexigrow.llm.store import measured, parts, small_batches
 from lexigrow.llm.words import U, hashed_words, mix, powers, text_slices, tidy
 
 #: Text that is named and thinned out at once, and text for each bucket of names, in bytes.
@@ -394,6 +394,7 @@ def without_repeats(
     windows of equal id and place never remove each other.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("n")).first()["n"] or 0
     buckets = parts(spark, 1 + int(size) // BUCKET)

@@ -41,6 +41,15 @@ def measured(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(back) if table_bytes(df.sparkSession, path) <= limit else back
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lets the session hand Python workers at most ``rows`` rows at once. Texts and vectors are
+    wide rows: with Spark's default of 10,000 the buffers on both sides take hundreds of MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def parts(spark: SparkSession, least: int = 1) -> int:
     """The number of shuffle partitions that the session asks for."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

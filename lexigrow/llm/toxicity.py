@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrow.llm.store import kept
+from lexigrow.llm.store import kept, small_batches
 from lexigrow.llm.words import LOWER, U, give_back, span_hashes, text_slices, tidy, word_spans
 
 BITS = 18
@@ -137,6 +137,7 @@ def fit(
     chosen features only. ``counterfactual`` weighs the penalty. Without any label of 1 every
     score is 0.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(label_col).isNotNull()).select(
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         (F.col(label_col) > 0).cast("int").alias("label"),

@@ -169,6 +169,8 @@ def test_bpe_equals_the_library(spark):
     got = {r["id"]: r["ids"] for r in tokens.collect()}
     back = {r["id"]: r["text"] for r in bpe.decoded(tokens, VOCABULARY).collect()}
     sums = {r["id"]: r for r in bpe.digests(tokens, VOCABULARY).collect()}
+    once = bpe.round_trip(frame(spark, texts), VOCABULARY)
+    assert sorted(map(tuple, once.collect())) == sorted(tuple(r) for r in sums.values())
     for i, text in enumerate(texts):
         want = library.encode(text or "", add_special_tokens=False).ids
         assert got[i] == want
@@ -247,7 +249,7 @@ def test_context_mixing(spark):
 
 def test_costs_of_all_words_add_up_to_one():
     table = np.random.default_rng(0).integers(0, 9, 2 * context_mixing.SLOTS).astype(np.float16)
-    plain = np.full(256 * context_mixing.STEPS, 0.5)
+    plain = np.full(context_mixing.NODES * context_mixing.STEPS, 0.5)
     model = context_mixing.Model(table.tobytes(), context_mixing.START, plain)
     # All words of no and one byte, and what two bytes or more begin with.
     blob = np.arange(256, dtype=np.uint8)
