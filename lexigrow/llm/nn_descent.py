@@ -7,9 +7,11 @@ of the neighbours-of-neighbours join: two neighbours of one class that are in di
 components are compared, and rounds go on until no link is new. An audit compares a sample of
 classes with all of their label; while it misses links, more cells are added.
 
-A list that is full of links is saturated: it may leave out others. Since every link lies
-within a component, lists are enlarged to whole components at the end: those are compared block
-by block, which yields the exact number of links of each class without a row for each pair.
+A list that is full of links is saturated: it may leave out others, even all links to another
+tight group. Components therefore do not rest on lists: within a cell all pairs are compared, and
+besides the lists as many links leave it as connect what is linked there. At the end whole
+components are compared block by block, which yields the exact number of links of each class
+without a row for each pair.
 Cells and components larger than ``BLOCK`` are dealt out by hash, so no task holds a large group.
 """
 
@@ -83,16 +85,36 @@ def _cells(trees: range):
     return run
 
 
-def _lists(floor: float):
-    """The nearest neighbours of each class within one cell, down to the floor."""
+def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of as few links as connect what a symmetric matrix of links connects."""
+    left = linked.any(axis=1)
+    i, j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for start in np.flatnonzero(left):
+        front = np.array([start]) if left[start] else np.empty(0, np.int64)
+        left[start] = False
+        while len(front):
+            reach = linked[front] & left
+            new = np.flatnonzero(reach.any(axis=0))
+            i.append(front[reach[:, new].argmax(axis=0)])
+            j.append(new)
+            left[new] = False
+            front = new
+    return np.concatenate(i), np.concatenate(j)
+
+
+def _lists(floor: float, threshold: float):
+    """The nearest neighbours of each class within one cell, down to the floor, and links that
+    connect all that is linked in the cell."""
 
     def run(rows: pa.Table) -> pa.Table:
         schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("cos", pa.float64())])
         ids, values = np.asarray(rows.column("id")), unpacked(rows.column("vector"))
+        linked = np.zeros((len(ids), len(ids)), bool)
         u, v, cos = [], [], []
         for low in range(0, len(ids), BLOCK):
             near = values[low : low + BLOCK] @ values.T
             near[np.arange(len(near)), np.arange(low, low + len(near))] = -2.0
+            linked[low : low + BLOCK] = near >= threshold
             if near.shape[1] > LIST:
                 bar = np.partition(near, -LIST, axis=1)[:, -LIST]
                 near[near < bar[:, None]] = -2.0
@@ -100,6 +122,11 @@ def _lists(floor: float):
             u.append(np.minimum(ids[low + i], ids[j]))
             v.append(np.maximum(ids[low + i], ids[j]))
             cos.append(near[i, j])
+        i, j = spanning(linked | linked.T)
+        u.append(np.minimum(ids[i], ids[j]))
+        v.append(np.maximum(ids[i], ids[j]))
+        # Rounding must not take a link below the threshold.
+        cos.append(np.maximum((values[i] * values[j]).sum(axis=1), threshold))
         return pa.table([pa.array(np.concatenate(x)) for x in (u, v, cos)], schema=schema)
 
     return run
@@ -121,7 +148,7 @@ def _cosines(floor: float):
     return run
 
 
-def _first_lists(classes: DataFrame, trees: range, floor: float) -> DataFrame:
+def _first_lists(classes: DataFrame, trees: range, floor: float, threshold: float) -> DataFrame:
     rows = kept(
         classes.select("id", "vector", "bits", "kind").mapInArrow(
             _cells(trees), "id long, kind string, tree int, signs long, vector binary"
@@ -134,8 +161,10 @@ def _first_lists(classes: DataFrame, trees: range, floor: float) -> DataFrame:
     dealt = rows.join(large, cell, "left").withColumn(
         "salt", F.pmod(F.xxhash64("id", "tree"), split)
     )
-    found = dealt.groupBy(*cell, "salt").applyInArrow(_lists(floor), "u long, v long, cos double")
-    return kept(found.dropDuplicates(["u", "v"]))
+    found = dealt.groupBy(*cell, "salt").applyInArrow(
+        _lists(floor, threshold), "u long, v long, cos double"
+    )
+    return kept(found.groupBy("u", "v").agg(F.max("cos").alias("cos")))
 
 
 def _joined(lists: DataFrame, roots: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
@@ -324,7 +353,7 @@ def embedding_links(
     bits = F.greatest(F.lit(0), F.least(F.lit(40), F.ceil(F.log2(F.col("rows") / CELL)))).cast("int")
     classes = kept(classes.join(measured(kinds.select("kind", bits.alias("bits"))), "kind"))
     floor = threshold - FLOOR
-    lists = _first_lists(classes, range(TREES), floor)
+    lists = _first_lists(classes, range(TREES), floor, threshold)
     trees = TREES
     while True:
         links = lists.where(F.col("cos") >= threshold)
@@ -334,7 +363,7 @@ def embedding_links(
             lists = kept(lists.union(more))
             continue
         if trees < 4 * TREES and missed_share(classes, roots, threshold) > MISSES:
-            added = _first_lists(classes, range(trees, trees + TREES), floor)
+            added = _first_lists(classes, range(trees, trees + TREES), floor, threshold)
             lists = kept(lists.union(added).dropDuplicates(["u", "v"]))
             trees += TREES
             continue

@@ -75,6 +75,17 @@ def test_nn_descent(spark, monkeypatch, block):
     assert got == {rows[i][0]: (len(near[i]), root[i]) for i in range(len(rows))}
 
 
+def test_nn_descent_links_two_tight_groups(spark):
+    # Every list is full of members of its own group; the links between the groups count all the same.
+    rng = np.random.default_rng(3)
+    centres = np.zeros((2, 8))
+    centres[0, 0], centres[1, :2] = 1.0, (0.94, math.sqrt(1 - 0.94**2))
+    values = centres[np.arange(400) % 2] + rng.normal(size=(400, 8)) * 1e-4
+    rows = [(i, [float(np.float32(x)) for x in v], 1, "", 0) for i, v in enumerate(values)]
+    got = nn_descent.embedding_links(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["id"], r["n_links"], r["component_id"]) for r in got} == {(i, 399, 0) for i in range(400)}
+
+
 def test_nn_descent_of_repeats_and_nothing(spark):
     rows = [(1, [1.0, 0.0], 1)] * 3 + [(2, [1.0, 0.1], 1), (None, [1.0, 0.0], 1), (3, [0.0, 1.0], 1)]
     table = spark.createDataFrame([(*r, "", 0) for r in rows], SCHEMA)
