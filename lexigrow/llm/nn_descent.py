@@ -1,18 +1,21 @@
 """Links between embeddings of one label, by NN-descent.
 
 Equal vectors are one class. Every class keeps a list of its nearest neighbours down to ``FLOOR``
-below the threshold. Lists start from random cells (signs of random projections; a pair at the
-threshold misses all cells with a probability of a few in a million) and are refined by rounds
+below the threshold. Lists start from random cells, by signs of random projections. The deeper
+the cells of a label, the more trees of cells it has, so that a pair at the threshold misses all
+cells with a probability of at most ``MISS`` at any size. Lists are refined by rounds
 of the neighbours-of-neighbours join: two neighbours of one class that are in different
-components are compared, and rounds go on until no link is new. An audit compares a sample of
-classes with all of their label; while it misses links, more cells are added.
+components are compared, and rounds go on until no link is new. An audit compares samples of all
+classes and of those with links with all of their label. Links it finds missing are added, with
+more cells and a new sample, until it finds none.
 
 A list that is full of links is saturated: it may leave out others, even all links to another
 tight group. Components therefore do not rest on lists: within a cell all pairs are compared, and
 besides the lists as many links leave it as connect what is linked there. At the end whole
 components are compared block by block, which yields the exact number of links of each class
 without a row for each pair.
-Cells and components larger than ``BLOCK`` are dealt out by hash, so no task holds a large group.
+Cells and components larger than ``BLOCK`` are dealt out by hash, so no task holds a large group;
+then all pairs of their blocks are compared, of cells only where components differ.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrow.llm.blocks import block_pairs
 from lexigrow.llm.store import kept, measured, parts
 from lexigrow.llm.vectors import matrix, packed, unpacked, usable
 from lexigrow.llm.words import tidy
@@ -31,8 +35,26 @@ from lexigrow.operators.components import components
 
 #: Length of a list, how far below the threshold it goes, classes of a cell, of a block.
 LIST, FLOOR, CELL, BLOCK = 16, 0.15, 128, 1024
-#: Random cells each class is put in at first; audited classes; links the audit may miss.
-TREES, AUDIT, MISSES = 16, 200, 0.001
+#: Probability that a pair at the threshold shares no cell; audited classes of each sample.
+MISS, AUDIT = 5e-6, 200
+
+
+def cell_plan(threshold: float, bits: int = 40) -> list[tuple[int, int]]:
+    """Depth and number of trees, for each largest depth from 0 to ``bits``.
+
+    Two vectors at the threshold are on one side of a random plane with probability
+    ``1 - angle / pi``. Depths that cost more comparisons in their many trees than they
+    save are passed over.
+    """
+    same = 1 - np.arccos(np.clip(threshold, -1.0, 1.0)) / np.pi
+    plan, least = [], np.inf
+    for depth in range(bits + 1):
+        meets = same**depth
+        trees = 1.0 if meets == 1 else np.ceil(np.log(MISS) / np.log1p(-meets)) if meets > 1e-12 else np.inf
+        if trees / 2.0**depth < least:
+            least, best = trees / 2.0**depth, (depth, int(trees))
+        plan.append(best)
+    return plan
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,8 +76,9 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _cells(trees: range):
-    """A row for each tree and class: its cell, named by label, tree and projection signs."""
+def _cells(first: int, times: int):
+    """A row for each tree and class: its cell, named by label, tree and projection signs. Of the
+    ``trees`` of a label, trees from ``first`` times that number to below ``times`` times it."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,17 +90,23 @@ def _cells(trees: range):
                 rows = pa.array(np.flatnonzero(length == size))
                 vectors = batch.column(1).take(rows)
                 values = unpacked(vectors)
+                kinds, ids = batch.column(3).take(rows), batch.column(0).take(rows)
                 bits = np.asarray(batch.column(2).take(rows)).astype(np.int64)
-                for tree in trees:
+                count = np.asarray(batch.column(4).take(rows)).astype(np.int64)
+                for tree in range(first * int(count.min()), times * int(count.max())):
+                    pick = np.flatnonzero((tree >= first * count) & (tree < times * count))
+                    if not len(pick):
+                        continue
                     planes = np.random.default_rng((tree, int(size))).normal(size=(values.shape[1], 40))
-                    signs = (values @ planes > 0).astype(np.int64) @ (1 << np.arange(40))
+                    signs = (values[pick] @ planes > 0).astype(np.int64) @ (1 << np.arange(40))
+                    some = pa.array(pick)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            batch.column(0).take(rows),
-                            batch.column(3).take(rows),
-                            pa.array(np.full(len(bits), tree, dtype=np.int32)),
-                            pa.array(signs & ((1 << bits) - 1)),
-                            vectors,
+                            ids.take(some),
+                            kinds.take(some),
+                            pa.array(np.full(len(pick), tree, dtype=np.int32)),
+                            pa.array(signs & ((1 << bits[pick]) - 1)),
+                            vectors.take(some),
                         ],
                         names=["id", "kind", "tree", "signs", "vector"],
                     )
@@ -148,10 +177,35 @@ def _cosines(floor: float):
     return run
 
 
-def _first_lists(classes: DataFrame, trees: range, floor: float, threshold: float) -> DataFrame:
+def _across(threshold: float):
+    """Links between components, as few as connect what is linked, within a block or between
+    two blocks of one cell."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("cos", pa.float64())])
+        root, side = np.asarray(rows.column("root")), np.asarray(rows.column("side"))
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        if not len(left) or not len(right) or (root == root[0]).all():
+            return schema.empty_table()
+        ids, values = np.asarray(rows.column("id")), unpacked(rows.column("vector"))
+        linked = np.zeros((len(ids), len(ids)), bool)
+        near = values[left] @ values[right].T >= threshold
+        linked[np.ix_(left, right)] = near & (root[left][:, None] != root[right])
+        i, j = spanning(linked | linked.T)
+        cos = np.maximum((values[i] * values[j]).sum(axis=1), threshold)
+        u, v = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        return pa.table([pa.array(u), pa.array(v), pa.array(cos)], schema=schema)
+
+    return run
+
+
+def _cell_lists(
+    classes: DataFrame, first: int, times: int, floor: float, threshold: float, links: DataFrame | None = None
+) -> DataFrame:
+    """Lists from cells. ``links`` are those known already."""
     rows = kept(
-        classes.select("id", "vector", "bits", "kind").mapInArrow(
-            _cells(trees), "id long, kind string, tree int, signs long, vector binary"
+        classes.select("id", "vector", "bits", "kind", "trees").mapInArrow(
+            _cells(first, times), "id long, kind string, tree int, signs long, vector binary"
         )
     )
     cell = ["kind", "tree", "signs"]
@@ -164,7 +218,20 @@ def _first_lists(classes: DataFrame, trees: range, floor: float, threshold: floa
     found = dealt.groupBy(*cell, "salt").applyInArrow(
         _lists(floor, threshold), "u long, v long, cos double"
     )
-    return kept(found.groupBy("u", "v").agg(F.max("cos").alias("cos")))
+    lists = kept(found.groupBy("u", "v").agg(F.max("cos").alias("cos")))
+    if not large.limit(1).count():
+        return lists
+    # Members of a large cell met only those dealt to the same part of it.
+    known = lists.where(F.col("cos") >= threshold).select("u", "v")
+    roots = components(known if links is None else known.union(links.select("u", "v")))
+    roots = roots.select(F.col("node").alias("id"), "root")
+    placed = rows.select(*cell, "id").join(large.select(*cell), cell).join(roots, "id", "left")
+    placed = kept(placed.select(*cell, "id", F.coalesce("root", "id").alias("root")))
+    pairs = block_pairs(placed, cell, BLOCK).join(classes.select("id", "vector"), "id")
+    across = kept(
+        pairs.groupBy(*cell, "i", "j").applyInArrow(_across(threshold), "u long, v long, cos double")
+    )
+    return kept(lists.union(across).groupBy("u", "v").agg(F.max("cos").alias("cos")))
 
 
 def _joined(lists: DataFrame, roots: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
@@ -196,53 +263,53 @@ def _joined(lists: DataFrame, roots: DataFrame, classes: DataFrame, floor: float
     )
 
 
-def _audited(ids: np.ndarray, kinds: np.ndarray, values: dict[int, np.ndarray], threshold: float):
-    """All links of the audited classes."""
+def _audited(asked: pa.Table, threshold: float):
+    """Links of the audited classes to other components."""
+    ids, roots = np.asarray(asked.column("id")), np.asarray(asked.column("root"))
+    kinds = np.array(asked.column("kind").to_pylist())
+    values = [np.frombuffer(v, np.float64) for v in asked.column("vector").to_pylist()]
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, kind = np.asarray(batch.column(0)), np.array(batch.column(1).to_pylist())
+            root = np.asarray(batch.column(3))
             for k in np.unique(kinds):
-                rows, asked = np.flatnonzero(kind == k), np.flatnonzero(kinds == k)
+                rows, of = np.flatnonzero(kind == k), np.flatnonzero(kinds == k)
                 if not len(rows):
                     continue
-                near = np.stack([values[i] for i in asked]) @ unpacked(
+                near = np.stack([values[i] for i in of]) @ unpacked(
                     batch.column(2).take(pa.array(rows))
                 ).T
-                i, j = np.nonzero(near >= threshold)
-                a, b = ids[asked[i]], own[rows[j]]
-                pick = a != b
+                i, j = np.nonzero((near >= threshold) & (roots[of][:, None] != root[rows]))
+                a, b = ids[of[i]], own[rows[j]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[pick]), pa.array(b[pick])], names=["a", "b"]
+                    [
+                        pa.array(np.minimum(a, b)),
+                        pa.array(np.maximum(a, b)),
+                        pa.array(near[i, j]),
+                    ],
+                    names=["u", "v", "cos"],
                 )
 
     return run
 
 
-def missed_share(classes: DataFrame, roots: DataFrame, threshold: float) -> float:
-    """The share of links of ``AUDIT`` sampled classes, found by comparing with all, whose ends
-    are in different components."""
-    some = classes.orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "kind", "vector").toArrow()
-    if not len(some):
-        return 0.0
-    values = {i: np.frombuffer(v, np.float64) for i, v in enumerate(some.column("vector").to_pylist())}
-    kinds = np.array(some.column("kind").to_pylist())
-    true = classes.select("id", "kind", "vector").mapInArrow(
-        _audited(np.asarray(some.column("id")), kinds, values, threshold), "a long, b long"
-    )
-    left = roots.select(F.col("node").alias("a"), F.col("root").alias("left"))
-    right = roots.select(F.col("node").alias("b"), F.col("root").alias("right"))
-    row = (
-        true.join(left, "a", "left")
-        .join(right, "b", "left")
-        .agg(
-            F.count(F.lit(1)).alias("links"),
-            F.count(F.when(F.col("left") == F.col("right"), 1)).alias("found"),
-        )
-        .first()
+def missed_links(classes: DataFrame, roots: DataFrame, threshold: float, turn: int = 0) -> DataFrame:
+    """Links ``(u, v, cos)`` between different components, of ``AUDIT`` classes sampled from all
+    and as many from those with links, found by comparing with all of their label. Every
+    ``turn`` has samples of its own."""
+    placed = kept(
+        classes.select("id", "kind", "vector")
+        .join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+        .select("id", "kind", "vector", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked"))
     )
-    return 1 - row["found"] / row["links"] if row["links"] else 0.0
+    order = [F.xxhash64("id", F.lit(turn)), F.col("id")]
+    some = placed.orderBy(*order).limit(AUDIT)
+    asked = some.union(placed.where("linked").orderBy(*order).limit(AUDIT)).distinct().toArrow()
+    schema = "u long, v long, cos double"
+    found = placed.drop("linked").mapInArrow(_audited(asked, threshold), schema)
+    return kept(found.groupBy("u", "v").agg(F.max("cos").alias("cos")))
 
 
 def _counted(threshold: float):
@@ -350,11 +417,15 @@ def embedding_links(
     )
     classes = kept(classes)
     kinds = classes.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"))
-    bits = F.greatest(F.lit(0), F.least(F.lit(40), F.ceil(F.log2(F.col("rows") / CELL)))).cast("int")
-    classes = kept(classes.join(measured(kinds.select("kind", bits.alias("bits"))), "kind"))
+    most = F.greatest(F.lit(0), F.least(F.lit(40), F.ceil(F.log2(F.col("rows") / CELL)))).cast("int")
+    bits, trees = (F.array(*map(F.lit, x)) for x in zip(*cell_plan(threshold), strict=True))
+    kinds = kinds.select(
+        "kind", F.get(bits, most).alias("bits"), F.get(trees, most).alias("trees")
+    )
+    classes = kept(classes.join(measured(kinds), "kind"))
     floor = threshold - FLOOR
-    lists = _first_lists(classes, range(TREES), floor, threshold)
-    trees = TREES
+    lists = _cell_lists(classes, 0, 1, floor, threshold)
+    times = 1
     while True:
         links = lists.where(F.col("cos") >= threshold)
         roots = kept(components(links.select("u", "v")))
@@ -362,12 +433,14 @@ def embedding_links(
         if more.where(F.col("cos") >= threshold).limit(1).count():
             lists = kept(lists.union(more))
             continue
-        if trees < 4 * TREES and missed_share(classes, roots, threshold) > MISSES:
-            added = _first_lists(classes, range(trees, trees + TREES), floor, threshold)
-            lists = kept(lists.union(added).dropDuplicates(["u", "v"]))
-            trees += TREES
-            continue
-        break
+        missed = missed_links(classes, roots, threshold, times)
+        if not missed.limit(1).count():
+            break
+        # Every turn joins components, so turns come to an end.
+        added = _cell_lists(classes, times, times + 1, floor, threshold, links.union(missed))
+        every = lists.union(missed).union(added)
+        lists = kept(every.groupBy("u", "v").agg(F.max("cos").alias("cos")))
+        times += 1
     counts = link_counts(classes, roots, threshold)
     known = (
         classes.select("kind", "vector", F.col("id").alias("class"), "weight")

@@ -86,6 +86,31 @@ def test_nn_descent_links_two_tight_groups(spark):
     assert {(r["id"], r["n_links"], r["component_id"]) for r in got} == {(i, 399, 0) for i in range(400)}
 
 
+def test_nn_descent_compares_all_of_a_crowded_cell(spark, monkeypatch):
+    # Cells hold many blocks of classes too far apart to lead from one to the other by lists.
+    monkeypatch.setattr(nn_descent, "BLOCK", 32)
+    rng = np.random.default_rng(4)
+    values = np.eye(64)[0] + rng.normal(size=(1500, 64)) * math.sqrt(1 / 3 / 64)
+    length = np.linalg.norm(values[:100], axis=1, keepdims=True)
+    values = np.concatenate([values, values[:100] + rng.normal(size=(100, 64)) * length * math.sqrt(0.125 / 64)])
+    values = values.astype(np.float32).astype(float)
+    rows = [(i, v.tolist(), 1, "", 0) for i, v in enumerate(values)]
+    got = nn_descent.embedding_links(spark.createDataFrame(rows, SCHEMA)).collect()
+    unit = values / np.linalg.norm(values, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    assert 160 < near.sum() - len(near) and near.sum(axis=1).max() == 2
+    assert {(r["id"], r["n_links"], r["component_id"]) for r in got} == {
+        (i, int(n) - 1, int(first)) for i, (n, first) in enumerate(zip(near.sum(axis=1), near.argmax(axis=1), strict=True))
+    }
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.93, 1.0])
+def test_cells_miss_equally_few_pairs_at_any_size(threshold):
+    same = 1 - math.acos(threshold) / math.pi
+    for depth, trees in nn_descent.cell_plan(threshold):
+        assert (1 - same**depth) ** trees <= 5e-6
+
+
 def test_nn_descent_of_repeats_and_nothing(spark):
     rows = [(1, [1.0, 0.0], 1)] * 3 + [(2, [1.0, 0.1], 1), (None, [1.0, 0.0], 1), (3, [0.0, 1.0], 1)]
     table = spark.createDataFrame([(*r, "", 0) for r in rows], SCHEMA)
