@@ -44,6 +44,8 @@ _rng = np.random.default_rng(20240501)
 ORDERS = np.stack([_rng.permutation(BINS)[: DEPTH + 8] for _ in range(TREES)])
 #: Bins to borrow from where a bin is empty, attempt by attempt.
 BORROW = np.stack([_rng.permutation(BINS) for _ in range(64)])
+#: For each bin that is still empty then, the rank of every bin to borrow from.
+RANK = np.stack([_rng.permutation(BINS) for _ in range(BINS)]).astype(np.int16)
 
 
 def shingle_names(words: np.ndarray, size: int) -> np.ndarray:
@@ -94,14 +96,19 @@ def signatures(marks: np.ndarray) -> np.ndarray:
     out = np.take_along_axis(folded, first[:, :, None], axis=2)[:, :, 0]
     own, full = out.copy(), out > 0
     row, col = np.nonzero(~full)
-    for attempt in [*BORROW, None]:
+    for attempt in BORROW:
         if not len(row):
             break
-        # With too few shingles for the attempts, the first full bin serves.
-        source = full[row].argmax(axis=1) if attempt is None else attempt[col]
+        source = attempt[col]
         ok = full[row, source]
         out[row[ok], col[ok]] = own[row[ok], source[ok]] + (col[ok] % 7).astype(np.uint8)
         row, col = row[~ok], col[~ok]
+    # With too few shingles for the attempts, every bin has its own order of the full ones, so
+    # that bins agree independently of each other.
+    for k in range(0, len(row), 1 << 14):
+        r, c = row[k : k + (1 << 14)], col[k : k + (1 << 14)]
+        source = np.where(full[r], RANK[c], np.int16(BINS)).argmin(axis=1)
+        out[r, c] = own[r, source] + (c % 7).astype(np.uint8)
     return out
 
 

@@ -103,6 +103,17 @@ def test_lsh_forest_finds_all_links(spark, size):
     }
 
 
+@pytest.mark.parametrize(("more", "less"), [(5, 4), (10, 8)])
+def test_lsh_forest_trees_of_very_short_texts(more, less):
+    rng = np.random.default_rng(more)
+    sets = [rng.integers(0, 1 << 64, more, dtype=np.uint64, endpoint=False) for _ in range(4000)]
+    left, right = (
+        lsh_forest.signatures(lsh_forest.sketches([np.sort(s[:n]) for s in sets])) for n in (more, less)
+    )
+    met = [(left[:, o[: lsh_forest.DEPTH]] == right[:, o[: lsh_forest.DEPTH]]).all(axis=1) for o in lsh_forest.ORDERS]
+    assert (~np.any(met, axis=0)).sum() <= 1
+
+
 def test_lsh_forest_of_nothing(spark):
     assert lsh_forest.near_duplicates(frame(spark, []).where("doc_id > 0")).count() == 0
 
