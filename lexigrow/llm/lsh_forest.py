@@ -10,9 +10,9 @@ many tasks as it needs. Two classes are candidates
    have the longest common prefix there is, so the depth adapts to how dense a region is;
 2. after those are confirmed and linked up, as members of one region of any tree that still
    belong to different components and whose sketches agree as far as chance lets similar sets
-   differ (five standard deviations). A region is a base prefix; where that holds more
-   than ``REGION`` classes, it takes in further bins. The number of candidates is not capped,
-   but pairs that an earlier link of the region connects are skipped, and only links leave it.
+   differ (five standard deviations). A region is a base prefix at any size; more than
+   ``REGION`` classes are compared as pairs of blocks. The number of candidates is not capped,
+   but pairs that an earlier link connects are skipped, and only links leave a region.
 
 Candidates are confirmed on whole sets of 64-bit shingle names. Two sets of exactly the
 threshold 0.8 share no base prefix in any tree with a probability of 2 in 100,000.
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrow.llm.blocks import block_pairs
 from lexigrow.llm.store import kept, measured, parts, small_batches
 from lexigrow.llm.words import U, hashed_words, mix, text_slices, tidy
 from lexigrow.operators.components import components
@@ -37,7 +38,7 @@ CELL_BITS = 10
 CELLS = 1 << CELL_BITS
 #: Signature bins of the base prefix, trees, and trees whose neighbours are compared first.
 DEPTH, TREES, LINKING = 6, 36, 3
-#: Classes of a region from which on its prefix grows, by a bin for each further factor of 8.
+#: Classes of a region that are compared as one block.
 REGION = 1024
 _rng = np.random.default_rng(20240501)
 #: For every tree, the bins of its base prefix and the eight that refine the order.
@@ -215,8 +216,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links_within(threshold_percent: int):
-    """Links between members of different components within one region, as few as connect
-    what is linked there.
+    """Links between members of different components within a block of a region, or between two
+    blocks of one, as few as connect what is linked there.
 
     Sketches rule out pairs that are surely not similar; the others are compared on their full
     sets. Cells are a sample without replacement of the union of two sets, so the error of the
@@ -229,14 +230,17 @@ def _links_within(threshold_percent: int):
         if (root == root[0]).all():
             return schema.empty_table()
         ids, root = np.asarray(rows.column("id")), root.copy()
+        side = np.asarray(rows.column("side"))
+        right = np.flatnonzero(side == 1)
         sets = [np.frombuffer(x, U) for x in rows.column("names").to_pylist()]
         sizes, marks = np.array([len(s) for s in sets]), sketches(sets)
         full = (marks > 0).sum(axis=1)
         share = threshold_percent / 100
         u, v = [], []
-        for i in range(len(ids) - 1):
-            low, high = np.minimum(sizes[i + 1 :], sizes[i]), np.maximum(sizes[i + 1 :], sizes[i])
-            open_to = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (low >= share * high))
+        for i in np.flatnonzero(side != 1):
+            others = right if side[i] == 0 else np.arange(i + 1, len(ids))
+            low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+            open_to = others[(root[others] != root[i]) & (low >= share * high)]
             if not len(open_to):
                 continue
             cells = np.flatnonzero(marks[i])
@@ -365,23 +369,14 @@ def near_duplicates(
     )
     links = kept(confirmed(texts, first.distinct(), shingle_words, threshold_percent))
     roots = measured(components(links))
-    placed = regions.select("region", "rest", "id").join(
+    placed = regions.select("region", "id").join(
         roots.select(F.col("node").alias("id"), "root"), "id", "left"
     )
-    placed = kept(placed.select("region", "rest", "id", F.coalesce("root", "id").alias("root")))
-    mixed = placed.groupBy("region").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows")
-    )
-    deeper = F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / REGION) / 3)).cast("int")
-    prefix = F.expr("shiftright(rest, 64 - 8 * least(deeper, 8))")
-    mixed = measured(mixed.where("low < high").select("region", deeper.alias("deeper")))
-    open_rows = placed.join(mixed, "region").withColumn(
-        "sub", F.when(F.col("deeper") > 0, prefix).otherwise(0)
-    )
-    open_rows = kept(open_rows.select("region", "sub", "id", "root"))
+    placed = kept(placed.select("region", "id", F.coalesce("root", "id").alias("root")))
+    open_rows = kept(block_pairs(placed, ["region"], REGION))
     more = kept(
         open_rows.join(full_sets(texts, open_rows.select("id"), shingle_words), "id")
-        .groupBy("region", "sub")
+        .groupBy("region", "i", "j")
         .applyInArrow(_links_within(threshold_percent), "u long, v long")
     )
     copy_links = members.where("class <> id").select(F.col("id").alias("u"), F.col("class").alias("v"))

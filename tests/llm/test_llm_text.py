@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrow.llm import bpe, chat, context_mixing, lsh_forest, mixing, recompress, toxicity, words
+from lexigrow.llm import blocks, bpe, chat, context_mixing, lsh_forest, mixing, recompress, toxicity, words
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
@@ -114,6 +114,55 @@ def test_lsh_forest_trees_of_very_short_texts(more, less):
     assert (~np.any(met, axis=0)).sum() <= 1
 
 
+def test_lsh_forest_bounds_the_groups_of_a_crowded_region(spark, monkeypatch):
+    # One family of 90 classes: no group holds more than two blocks, however alike they are.
+    monkeypatch.setattr(lsh_forest, "REGION", 8)
+    within = lsh_forest._links_within
+
+    def counted(percent):
+        run = within(percent)
+
+        def checked(rows):
+            if len(rows) > 48:
+                raise ValueError(f"{len(rows)} rows in one group")
+            return run(rows)
+
+        return checked
+
+    monkeypatch.setattr(lsh_forest, "_links_within", counted)
+    rng = random.Random(7)
+    family = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(90):
+        copy = list(family)
+        for _ in range(1 + k % 7):
+            copy[rng.randrange(120)] = f"x{rng.randrange(10_000)}"
+        texts.append(" ".join(copy))
+    found = lsh_forest.near_duplicates(frame(spark, texts), shingle_words=2).collect()
+    sets = {i: shingles(t, 2) for i, t in enumerate(texts)}
+    want = components_of(sets)
+    assert {(r["id"], r["component_id"]) for r in found} == set(want.items())
+
+
+def test_block_pairs_meet_once(spark):
+    roots = [0] * 50 + [1] * 30 + list(range(2, 42))
+    rows = [(7, i, r) for i, r in enumerate(roots)] + [(8, i, 5) for i in range(99)]
+    table = spark.createDataFrame(rows, "region long, id long, root long")
+    groups = {}
+    for r in blocks.block_pairs(table, ["region"], 8).collect():
+        assert roots[r["id"]] == r["root"] and r["region"] == 7
+        groups.setdefault((r["i"], r["j"]), []).append((r["side"], r["id"]))
+    assert max(map(len, groups.values())) <= 48
+    met = Counter()
+    for members in groups.values():
+        for x, (side, a) in enumerate(members):
+            for other, b in members[x + 1 :]:
+                if (side == 2 or side != other) and roots[a] != roots[b]:
+                    met[min(a, b), max(a, b)] += 1
+    n = len(roots)
+    assert met == Counter((a, b) for a in range(n) for b in range(a + 1, n) if roots[a] != roots[b])
+
+
 def test_lsh_forest_of_nothing(spark):
     assert lsh_forest.near_duplicates(frame(spark, []).where("doc_id > 0")).count() == 0
 
