@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexigrow.llm import (
     bpe,
+    centroids,
     chat,
     context_mixing,
     lsh_forest,
@@ -148,7 +149,60 @@ def op9_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three Lloyd rounds of 16 integer centroids over every usable 64-component embedding."""
+    vectors = centroids.integer_vectors(table(spark, sf_dir, "embeddings"))
+    found, _ = centroids.cluster(vectors, k=16, rounds=3, salt="1")
+    return found.select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def _centroid_sql(rounds: int = 3, k: int = 16, dims: int = 64, scale: int = 64) -> str:
+    """Lloyd rounds unrolled as common table expressions."""
+    parts = [f"""v AS (
+  SELECT row_number() OVER () AS rid, vec_id,
+    list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT c, v FROM (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR), v) - 1 AS c, v
+    FROM v WHERE vec_id IS NOT NULL
+  ) WHERE c < {k}
+)"""]
+
+    def assign(r: int) -> str:
+        return f"""a{r} AS (
+  SELECT v.rid, v.vec_id, v.v, min(
+    list_sum(list_transform(range(1, {dims} + 1), lambda i: (v.v[i] - c{r}.v[i]) * (v.v[i] - c{r}.v[i]))) * 64
+    + c{r}.c) AS m
+  FROM v, c{r} GROUP BY v.rid, v.vec_id, v.v
+)"""
+
+    for r in range(rounds):
+        parts.append(assign(r))
+        parts.append(f"""s{r} AS (
+  SELECT (m % 64)::BIGINT AS c, i, sum(v[i]) AS s, count(*) AS n
+  FROM a{r}, range(1, {dims} + 1) t(i) GROUP BY ALL
+), n{r} AS (
+  SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{r} GROUP BY c
+), c{r + 1} AS (
+  SELECT c{r}.c, coalesce(n{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN n{r} USING (c)
+)""")
+    parts.append(assign(rounds))
+    last = f"a{rounds}"
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT {last}.vec_id, (m % 64)::INTEGER AS cluster, (m // 64)::BIGINT AS distance,
+  (sum(m // 64) OVER (PARTITION BY m % 64))::BIGINT AS cluster_inertia,
+  (sum(m // 64) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM {last} JOIN c{rounds} ON c{rounds}.c = m % 64
+"""
+
+
 QUERIES = {
+    "op13_centroids": op13_centroids,
     "op6_context_mixing": op6_context_mixing,
     "op2_nn_descent": op2_nn_descent,
     "op3_scan": op3_scan,
@@ -162,6 +216,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op13_centroids": _centroid_sql(),
     "op2_nn_descent": r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
