@@ -14,6 +14,7 @@ from lexigrow.llm import (
     lsh_forest,
     mixing,
     nn_descent,
+    quality,
     recompress,
     reshard,
     scan_search,
@@ -201,7 +202,61 @@ FROM {last} JOIN c{rounds} ON c{rounds}.c = m % 64
 """
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base measures and the verdict of the threshold table for every document."""
+    found = quality.judge(table(spark, sf_dir, "documents"), text="text", key="doc_id")
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def _quality_sql() -> str:
+    """The measures and the rule table of ``quality`` in DuckDB."""
+    stop = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+    held = []
+    for _, spec, least, most in quality.RULES:
+        top, _, bottom = spec.partition(" / ")
+        value = top if not bottom else f"({top}::DOUBLE / nullif({bottom}, 0))"
+        if least is not None:
+            held.append(f"coalesce({value} >= {least}, false)")
+        if most is not None:
+            held.append(f"coalesce({value} <= {most}, false)")
+    blank = r"[ \t\x0B\f\r]"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT rid, doc_id, t, regexp_extract_all(t, '[^ \t\n\x0B\f\r]+') AS ws,
+    list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ \t\n\x0B\f\r]')) AS ls
+  FROM d
+), win AS (
+  SELECT rid, s, array_to_string(ws[s:s + 4], ' ') AS g FROM w, unnest(range(1, len(ws) - 3)) t(s)
+  WHERE len(ws) >= 5
+), rep AS (
+  SELECT rid, s FROM (SELECT rid, s, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c >= 2
+), cov AS (SELECT rid, count(DISTINCT s + k) AS n FROM rep, range(0, 5) t(k) GROUP BY rid),
+m AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words,
+    length(regexp_replace(t, '[ \t\n\x0B\f\r]', '', 'g'))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
+    len(ls)::BIGINT AS n_lines,
+    len(list_filter(ws, lambda x: regexp_replace(lower(x), '^[^\p{{L}}]+|[^\p{{L}}]+$', '', 'g') IN ({stop})))
+      AS n_stop_words,
+    len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_alpha_words,
+    len(list_filter(ls, lambda l: regexp_matches(l, '(\.\.\.|…){blank}*$'))) AS n_ellipsis_lines,
+    len(list_filter(ls, lambda l: regexp_matches(l, '^{blank}*[•·*\-]'))) AS n_bullet_lines
+  FROM w LEFT JOIN cov USING (rid)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND {" AND ".join(held)} AS kept
+FROM m
+"""
+
+
 QUERIES = {
+    "op12_quality": op12_quality,
     "op13_centroids": op13_centroids,
     "op6_context_mixing": op6_context_mixing,
     "op2_nn_descent": op2_nn_descent,
@@ -217,6 +272,7 @@ QUERIES = {
 
 ORACLE = {
     "op13_centroids": _centroid_sql(),
+    "op12_quality": _quality_sql(),
     "op2_nn_descent": r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings

@@ -76,3 +76,49 @@ def test_centroids_query_plan_has_no_python(spark, small):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
     assert df.where(F.col("cluster").isNull()).count() == 0
+
+
+def brute_quality(text):
+    import re
+
+    from lexigrow.llm import quality
+
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    grams = [" ".join(words[i:i + 5]) for i in range(len(words) - 4)]
+    covered = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(5)}
+    seen, dup = set(), 0
+    for line in lines:
+        dup += line in seen
+        seen.add(line)
+    n = len(words)
+    failed = n < 10 or 100 * len(covered) > 20 * n
+    stop = sum(re.sub(r"^[^\w]+|[^\w]+$", "", w.lower()) in quality.STOP_WORDS for w in words)
+    ok = (not failed and 3 <= sum(map(len, words)) / n <= 10 and len(re.findall(r"[#*$%&|<>]", text)) / n <= 0.1
+          and stop >= 2 and sum(bool(re.search(r"[^\W\d_]", w)) for w in words) / n >= 0.8
+          and dup / len(lines) <= 0.3)
+    return (n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), failed, ok)
+
+
+def test_quality_rules_against_plain_version(spark):
+    from lexigrow.llm import quality
+
+    clean = "The cat sat on the mat and it was happy with the warm sun of the day."
+    texts = [
+        None, "", "   \n\t ", clean, clean + "\n" + clean + "\n" + clean,
+        "a b c d e a b c d e a b c d e x y z w v u t s r q",
+        "### $$$ %%% &&& ||| <<< >>> *** the and of to", "x " * 30000,
+        "Der Hund und die Katze sind in dem Haus mit der Frau.\nDer Hund und die Katze sind da.",
+        "one two three four five six seven eight nine ten eleven twelve", clean,
+    ]
+    df = spark.createDataFrame([(i, t, "kept", 1) for i, t in enumerate(texts)],
+                               "doc_id long, text string, kept string, n_words int").repartition(2)
+    got = {r["doc_id"]: tuple(r)[1:] for r in quality.judge(df).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    ).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        assert got[i] == brute_quality(text), (i, text and text[:40])
+    assert got[3][-1] and not got[0][-1] and not got[7][-1]
+    assert quality.judge(df.where(F.lit(False))).count() == 0
