@@ -13,6 +13,7 @@ from lexigrow.llm import (
     context_mixing,
     lsh_forest,
     mixing,
+    multi_index,
     nn_descent,
     quality,
     recompress,
@@ -255,7 +256,14 @@ FROM m
 """
 
 
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding: 5 positives, 10 negatives in 30 % to 90 %."""
+    rows = multi_index.prepared(table(spark, sf_dir, "embeddings"), scale=256, relabel_every=7, classes=10)
+    return multi_index.mine(rows, anchor_every=100, positives=5, negatives=10, low=30, high=90)
+
+
 QUERIES = {
+    "op11_multi_index": op11_multi_index,
     "op12_quality": op12_quality,
     "op13_centroids": op13_centroids,
     "op6_context_mixing": op6_context_mixing,
@@ -271,6 +279,32 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op11_multi_index": r"""
+WITH r AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), a AS (SELECT id AS anchor_id, label AS al, v AS q FROM r WHERE id % 100 = 0),
+s AS (
+  SELECT anchor_id, al, id, label,
+    list_sum(list_transform(range(1, len(q) + 1), lambda i: q[i] * v[i]))::BIGINT AS score
+  FROM a JOIN r ON len(r.v) = len(a.q)
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k
+    FROM s WHERE label = al AND id <> anchor_id
+  ) WHERE k <= 5
+), n AS (
+  SELECT p.anchor_id, p.positive_id, p.positive_score, s.id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.al
+    AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 10
+""",
     "op13_centroids": _centroid_sql(),
     "op12_quality": _quality_sql(),
     "op2_nn_descent": r"""

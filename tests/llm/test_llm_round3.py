@@ -122,3 +122,43 @@ def test_quality_rules_against_plain_version(spark):
         assert got[i] == brute_quality(text), (i, text and text[:40])
     assert got[3][-1] and not got[0][-1] and not got[7][-1]
     assert quality.judge(df.where(F.lit(False))).count() == 0
+
+
+def brute_negatives(rows, every=100, pos=5, neg=10):
+    good = [(i, (lab + 1) % 10 if i % 7 == 0 else lab, [math.floor(256 * float(x)) for x in e])
+            for i, e, lab in rows if i is not None and lab is not None and e is not None
+            and all(x is not None and math.isfinite(x) for x in e)]
+    out = []
+    for a, al, q in good:
+        if a % every:
+            continue
+        scored = [(-sum(x * y for x, y in zip(q, v)), i, lab) for i, lab, v in good if len(v) == len(q)]
+        ps = sorted(s for s in scored if s[2] == al and s[1] != a)[:pos]
+        for p_score, p, _ in ps:
+            p_score = -p_score
+            ns = sorted(s for s in scored if s[2] != al and 30 * p_score <= -100 * s[0] <= 90 * p_score)[:neg]
+            out += [(a, p, r + 1, i, p_score, -s) for r, (s, i, _) in enumerate(ns)]
+    return sorted(out)
+
+
+def test_multi_index_equals_brute_force(spark, monkeypatch):
+    from lexigrow.llm import multi_index
+
+    monkeypatch.setattr(multi_index, "CELLS", 4)
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in range(700):
+        centre = rng.normal(size=8) * (0.2 if n % 5 else 0.0)
+        rows.append((n, [float(np.float32(x)) for x in centre + rng.normal(size=8) * 0.1], int(rng.integers(0, 3))))
+    rows += [(100, [0.1] * 8, 1), (900, None, 1), (1000, [0.1] * 8, None), (1100, [0.1, None] + [0.0] * 6, 1),
+             (1200, [float("nan")] + [0.0] * 7, 1), (1300, [0.0] * 8, 2)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, "
+                               "id string, anchor_id int").repartition(3)
+    found = multi_index.mine(multi_index.prepared(df), cells=4)
+    got = sorted(tuple(r) for r in found.select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect())
+    want = brute_negatives(rows)
+    # Repeated anchor ids (100 twice) anchor once, with the smaller (label, vector).
+    assert [g for g in got if g[0] != 100] == [w for w in want if w[0] != 100]
+    assert len(got) > 100
+    assert multi_index.mine(multi_index.prepared(df.where(F.lit(False)))).count() == 0
