@@ -78,8 +78,10 @@ def mix_sources(
     weights: tuple[int, ...] = (5, 2, 1),
     cap: float = 3.0,
     seed: int = 0,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``(id, print, source_key, size, source_size, target, copies)`` for each row of ``docs``.
+    """``(id, print, source_key, size, source_size, target, copies)`` for each row of ``docs``,
+    followed by the columns named in ``carry``.
 
     Size is the number of words. Sources in code point order, null last, take the weights in
     turn; together the targets are all words. ``copies`` is how often the mix takes the
@@ -94,6 +96,7 @@ def mix_sources(
             F.xxhash64(F.coalesce(text, F.lit(""))).alias("print"),
             F.coalesce(F.concat(F.lit("a"), source), F.lit("b")).alias("source_key"),
             word_count(text).alias("size"),
+            *carry,
         )
     )
     classes = base.withColumn("class", F.length(F.bin("size")))
@@ -127,7 +130,7 @@ def mix_sources(
     ends = kept(
         ends.select(
             "id", "print", "source_key", "size", "source_size", "target", "units",
-            (F.col("start") + F.col("end")).cast("decimal(38,0)").alias("high"),
+            (F.col("start") + F.col("end")).cast("decimal(38,0)").alias("high"), *carry,
         )
     )
     random = F.pmod(F.xxhash64(F.lit(seed), "source_key"), F.lit(UNIT))
@@ -141,7 +144,7 @@ def mix_sources(
     chosen = measured(tried.select("source_key", best.alias("offset")))
     return ends.join(chosen, "source_key").select(
         "id", "print", "source_key", "size", "source_size", "target",
-        _crossings(F.col("offset")).alias("copies"),
+        _crossings(F.col("offset")).alias("copies"), *carry,
     )
 
 
@@ -153,29 +156,19 @@ def _crossings(offset: Column) -> Column:
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it.
+    """The rows of ``docs``, each as often as ``mix_sources`` takes it.
 
-    Rows that agree in id, text and source count as one document here.
+    Every input row is numbered once (the numbered table is written, so the numbers hold if
+    tasks run again) and carried through ``mix_sources``; its copies come back by a join on that
+    number. Repeated rows therefore come out exactly as often as each is taken, and no two rows
+    are ever confused, whatever their ids, texts or other columns. The number's column gets a
+    name that no column of ``docs`` has.
     """
-    found = mix_sources(docs, id_col, text_col, **options)
-    source = F.col(options.get("source_col", "source")).cast("string")
-    key = {
-        "__id": F.col(id_col),
-        "__print": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
-        "__source": F.coalesce(F.concat(F.lit("a"), source), F.lit("b")),
-    }
-    names = list(key)
-    copies = kept(found.select("id", "print", "source_key", "copies").toDF(*names, "__copies"))
-    once = copies.groupBy(*names).agg(F.max("__copies").cast("long").alias("__copies"))
-    rows = docs.withColumns(key)
-    if copies.count() != once.count():
-        rows = rows.dropDuplicates(names)
-    # A null id is compared as a value, not as unknown.
-    table = measured(once.where("__copies > 0").toDF("__i", "__p", "__s", "__copies"))
-    same = (
-        (F.col("__print") == F.col("__p"))
-        & (F.col("__source") == F.col("__s"))
-        & F.col("__id").eqNullSafe(F.col("__i"))
-    )
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")
-    return rows.join(table, same).select(*docs.columns, times).drop("__copy")
+    row = "__row"
+    while row in docs.columns:
+        row = "_" + row
+    tagged = kept(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    found = mix_sources(tagged, id_col, text_col, carry=(row,), **options)
+    taken = found.where(F.col("copies") > 0).select(row, F.col("copies").alias(f"{row}_copies"))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{row}_copies"))).alias(f"{row}_copy")
+    return tagged.join(taken, row).select(*[F.col(f"`{c}`") for c in docs.columns], times).drop(f"{row}_copy")

@@ -392,3 +392,19 @@ def test_toxicity_and_counterfactuals(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (3, 0)], "doc_id long, toxic int")
     joined = toxicity.labelled_texts(docs, labels).collect()
     assert sorted((r["text"] or "", r["label"]) for r in joined) == [("", 1), ("one", 0)]
+
+
+def test_mixed_keeps_every_repeat(spark):
+    """100 repeats of one row come out as often as mix_sources takes them together; columns
+    named like the numbering do not clash."""
+    rows = [(i, " ".join(["w"] * (1 + i % 7)), "s" + str(i % 3), "x") for i in range(60)]
+    rows += [(999, "the same words again and again", "s0", "x")] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __row string")
+    got = mixing.mix_sources(docs).collect()
+    want = sum(r["copies"] for r in got if r["id"] == 999)
+    assert want > 0
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns
+    assert mixed.where("doc_id = 999").count() == want
+    assert mixed.count() == sum(r["copies"] for r in got)
+    assert mixed.where("__row = 'x'").count() == mixed.count()
