@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,18 +29,70 @@ def hash_bucket(order: Column, digits: int = HEX_DIGITS) -> Column:
     return F.conv(F.substring(order, 1, digits), 16, 10).cast("int")
 
 
+#: Rows that one bucket of a numeric order may hold, unless they all share one value.
+BUCKET_ROWS = 1_000_000
+
+
+def _bucketed(df: DataFrame, value: Column, output: str, splits: list[float]) -> DataFrame:
+    if not splits:  # one bucket, and the last for null and NaN, as Bucketizer would have it
+        invalid = value.isNull() | F.isnan(value)
+        return df.withColumn(output, F.when(invalid, 1).otherwise(0).cast("int"))
+    raw = f"__{output}_in"
+    edges = [float("-inf"), *splits, float("inf")]
+    out = Bucketizer(splits=edges, inputCol=raw, outputCol=output, handleInvalid="keep").transform(
+        df.withColumn(raw, value)
+    )
+    return out.drop(raw).withColumn(output, F.col(output).cast("int"))
+
+
+def value_splits(df: DataFrame, order: str, rows_per_bucket: int = BUCKET_ROWS) -> list[float]:
+    """Cut points of a numeric column such that no bucket holds more than ``rows_per_bucket``
+    rows unless all its rows have one value.
+
+    The number of buckets follows the row count (twice rows / ``rows_per_bucket`` from
+    quantiles). Every value held by more than ``rows_per_bucket / 2`` rows gets a bucket of
+    its own, and a bucket that is still over the bound with more than one value is cut again
+    by quantiles of its own rows, until none is. Only bucket statistics of buckets over the
+    bound, and the cut points, reach the driver.
+    """
+    value = F.col(order).cast("double")
+    narrow = df.select(value.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    n = narrow.count()
+    wanted = max(1, -(-2 * n // rows_per_bucket))
+    splits: set[float] = set()
+    if wanted > 1:
+        splits.update(narrow.approxQuantile("__v", [i / wanted for i in range(1, wanted)], 1 / (4 * wanted)))
+    heavy = narrow.groupBy("__v").count().where(F.col("count") > rows_per_bucket // 2).select("__v").collect()
+    for row in heavy:
+        splits.update((row["__v"], float(np.nextafter(row["__v"], np.inf))))
+    while True:
+        cuts = sorted(x for x in splits if np.isfinite(x))
+        found = _bucketed(narrow, F.col("__v"), "__b", cuts).groupBy("__b").agg(
+            F.count(F.lit(1)).alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high")
+        ).where((F.col("n") > rows_per_bucket) & (F.col("low") < F.col("high"))).collect()
+        if not found:
+            return cuts
+        before = len(splits)
+        for row in found:
+            inside = narrow.where((F.col("__v") >= row["low"]) & (F.col("__v") <= row["high"]))
+            parts = max(2, -(-2 * row["n"] // rows_per_bucket))
+            splits.update(x for x in inside.approxQuantile("__v", [i / parts for i in range(1, parts)], 1 / (4 * parts))
+                          if row["low"] < x <= row["high"])
+            middle = (row["low"] + row["high"]) / 2
+            splits.add(middle if row["low"] < middle <= row["high"] else row["high"])
+        if len(splits) == before:
+            return sorted(x for x in splits if np.isfinite(x))
+
+
 def with_value_bucket(
-    df: DataFrame, order: str, output: str, buckets: int = 1024
+    df: DataFrame, order: str, output: str, rows_per_bucket: int = BUCKET_ROWS
 ) -> DataFrame:
-    """Bucket numbers that follow the order of a numeric column, balanced by quantiles."""
-    probabilities = [i / buckets for i in range(1, buckets)]
-    inner = sorted(set(df.approxQuantile(order, probabilities, 1 / (4 * buckets))))
-    splits = [float("-inf"), *[float(x) for x in inner], float("inf")]
-    raw = f"__{output}_in"
-    bucketed = Bucketizer(
-        splits=splits, inputCol=raw, outputCol=output, handleInvalid="keep"
-    ).transform(df.withColumn(raw, F.col(order).cast("double")))
-    return bucketed.drop(raw).withColumn(output, F.col(output).cast("int"))
+    """Bucket numbers that follow the order of a numeric column, from ``value_splits``.
+
+    Null and NaN values share the last bucket.
+    """
+    cuts = value_splits(df, order, rows_per_bucket)
+    return _bucketed(df, F.col(order).cast("double"), output, cuts)
 
 
 def running_totals(

@@ -383,7 +383,7 @@ ORACLE = {
                coalesce(tp / nullif(tp + fn, 0), 0) AS recall,
                (tp + tn) / (tp + fp + fn + tn) AS accuracy FROM m""",
     "clf_auc": """WITH s AS (SELECT CAST(label = 1 AS INTEGER) AS y,
-               round(CAST(embedding[1] AS DOUBLE), 2) AS score FROM embeddings),
+               CAST(embedding[1] AS DOUBLE) AS score FROM embeddings),
         r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r
               FROM s)
         SELECT round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2)

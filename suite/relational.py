@@ -269,7 +269,7 @@ def clf_auc(spark, folder):
     vectors = table(spark, folder, "embeddings")
     rows = vectors.select(
         (F.col("label") == 1).cast("int").alias("label"),
-        F.round(F.col("embedding")[0].cast("double"), 2).alias("score"),
+        F.col("embedding")[0].cast("double").alias("score"),
     )
     return roc_auc(rows, "label", "score").select(F.round("auc", 6).alias("auc"))
 
