@@ -85,3 +85,25 @@ def test_shared_folder(spark):
     assert shared_dir(spark) == folder
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     assert settled(spark.range(4).withColumn("x", F.lit("a"))).count() == 4
+
+
+def test_plain_tsv_is_read_by_several_tasks(spark, tmp_path):
+    """A plain file of several blocks is split among tasks; a quoted line break needs multi_line."""
+    path = tmp_path / "big.tsv"
+    with open(path, "w") as out:
+        out.write("doc_id\tjoined_text\tsource\n")
+        for i in range(40_000):
+            out.write(f"{i}\tword{i % 97} other{i % 13} more words here\ts{i % 3}\n")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(256 * 1024))
+    try:
+        df = tables.read_tsv(spark, str(path), "doc_id long, joined_text string, source string")
+        assert df._jdf.rdd().getNumPartitions() > 1
+        assert df.count() == 40_000 and df.agg(F.sum("doc_id")).first()[0] == sum(range(40_000))
+    finally:
+        spark.conf.set(key, before)
+    quoted = tmp_path / "quoted.tsv"
+    quoted.write_text('doc_id\ttext\n1\t"two\nlines"\n2\tone\n')
+    got = tables.read_tsv(spark, str(quoted), "doc_id long, text string", multi_line=True).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == ["two\nlines", "one"]
