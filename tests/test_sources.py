@@ -107,3 +107,16 @@ def test_plain_tsv_is_read_by_several_tasks(spark, tmp_path):
     quoted.write_text('doc_id\ttext\n1\t"two\nlines"\n2\tone\n')
     got = tables.read_tsv(spark, str(quoted), "doc_id long, text string", multi_line=True).orderBy("doc_id").collect()
     assert [r["text"] for r in got] == ["two\nlines", "one"]
+
+
+def test_texts_are_spread_over_bounded_tasks(spark, monkeypatch):
+    from lexigrow.sources import tables
+
+    rows = [(i, None if i == 7 else "word " * 40) for i in range(100)] + [(1, "word " * 40)]
+    docs = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    assert tables.spread_text(docs).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(tables, "TASK_TEXT", 2000)
+    spread = tables.spread_text(docs)
+    assert spread.rdd.getNumPartitions() == 10
+    assert max(len(part) for part in spread.rdd.glom().collect()) <= 11
+    assert sorted(map(repr, spread.collect())) == sorted(map(repr, docs.collect()))
