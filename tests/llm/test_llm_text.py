@@ -8,6 +8,7 @@ from math import log10
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -408,3 +409,30 @@ def test_mixed_keeps_every_repeat(spark):
     assert mixed.where("doc_id = 999").count() == want
     assert mixed.count() == sum(r["copies"] for r in got)
     assert mixed.where("__row = 'x'").count() == mixed.count()
+
+
+def test_context_mixing_words_in_slices(monkeypatch):
+    """A bucket's words are worked on in parts; no word or cost is lost by that."""
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(0, 9, 1000)
+    kinds = rng.integers(0, 5, 1000).astype(np.uint8)
+    blob = rng.integers(97, 123, int(sizes.sum())).astype(np.uint8)
+    table = rng.integers(0, 9, 2 * context_mixing.SLOTS).astype(np.float16)
+    plain = np.full(context_mixing.NODES * context_mixing.STEPS, 0.5)
+    model = context_mixing.Model(table.tobytes(), context_mixing.START, plain)
+    whole = model.costs(kinds, sizes, blob)
+    monkeypatch.setattr(context_mixing, "SLICE", 7)
+    seen = []
+    steps = context_mixing._steps
+    monkeypatch.setattr(context_mixing, "_steps", lambda k, s, b: seen.append(len(s)) or steps(k, s, b))
+    assert np.allclose(model.costs(kinds, sizes, blob), whole, rtol=1e-9)
+    assert sum(seen) == 1000 and max(seen) == 7
+    counts = rng.integers(0, 3, 1000)
+    columns = [pa.array([x.tobytes()], pa.binary()) for x in (kinds, counts, sizes, blob)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["kinds", "counts", "sizes", "blob"])
+    parts = list(context_mixing._trained(batch))
+    assert max(len(p[0]) for p in parts) == 7
+    assert sum(int(p[1].sum()) for p in parts) == counts.sum()
+    starts = np.cumsum(sizes) - sizes
+    wanted = [blob[a : a + n] for a, n, c in zip(starts, sizes, counts) if c]
+    assert np.array_equal(np.concatenate([p[3] for p in parts]), np.concatenate(wanted))
