@@ -162,3 +162,44 @@ def test_multi_index_equals_brute_force(spark, monkeypatch):
     assert [g for g in got if g[0] != 100] == [w for w in want if w[0] != 100]
     assert len(got) > 100
     assert multi_index.mine(multi_index.prepared(df.where(F.lit(False)))).count() == 0
+
+
+def test_multi_index_scores_blocks_not_pairs(spark, monkeypatch):
+    """Without clusters nearly every anchor probes every cell; still, what tasks return stays near the
+    lists asked for, in small blocks, with a cell larger than a block and several anchor groups."""
+    from lexigrow.llm import multi_index
+
+    monkeypatch.setattr(multi_index, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(multi_index, "GROUP_ANCHORS", 3)
+    monkeypatch.setattr(multi_index, "ANCHOR_PIECE", 2)
+    rng = np.random.default_rng(8)
+    rows = [(n, [float(np.float32(x)) for x in rng.normal(size=8)], int(rng.integers(0, 3))) for n in range(900)]
+    rows += [(1000 + n, [0.5] * 8, n % 3) for n in range(150)]  # equal vectors: one cell of several blocks
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    found = multi_index.mine(multi_index.prepared(df))
+    got = sorted(tuple(r) for r in found.select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect())
+    assert got == brute_negatives(rows) and len(got) > 200
+
+    index = multi_index.Index(multi_index.prepared(df))
+    anchors = index.filed.where("id % 100 = 0").select(F.col("id").alias("anchor_id"), "label", F.col("v").alias("q"))
+    todo = anchors.select("*", F.lit(0).alias("start"), F.lit(1 << 30).alias("take"),
+                          F.lit(None).cast("double").alias("ceiling"))
+    windows = anchors.select("anchor_id", F.lit(-(1 << 63)).alias("lo"), F.lit((1 << 63) - 1).alias("hi"))
+    probes = multi_index._probes(index, todo)
+    tops = multi_index._found(index, probes, todo, windows, 5, False, 4)
+    blocks = index.blocks.select("block").distinct().count()
+    assert index.blocks.count() == 1050 and index.blocks.groupBy("block").count().agg(F.max("count")).head()[0] <= 80
+    assert tops.count() <= anchors.count() * blocks * 5
+
+
+def test_multi_index_products_are_exact():
+    from lexigrow.llm.multi_index import _products
+
+    for size in (1 << 10, 1 << 29, 1 << 31):
+        q, v = np.full((1, 8), size, dtype=np.int64), np.full((1, 8), size, dtype=np.int64)
+        q[0, ::2] += 1
+        v[0, 1::2] *= -1
+        assert _products(q, v)[0, 0] == sum(int(a) * int(b) for a, b in zip(q[0], v[0]))
+    with pytest.raises(OverflowError):
+        _products(np.full((1, 4), 1 << 31, dtype=np.int64), np.full((1, 4), 1 << 31, dtype=np.int64))
