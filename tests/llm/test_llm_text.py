@@ -436,3 +436,49 @@ def test_context_mixing_words_in_slices(monkeypatch):
     starts = np.cumsum(sizes) - sizes
     wanted = [blob[a : a + n] for a, n, c in zip(starts, sizes, counts) if c]
     assert np.array_equal(np.concatenate([p[3] for p in parts]), np.concatenate(wanted))
+
+
+def test_context_mixing_knows_the_word_before(spark):
+    """Texts of the same words cost less in the order that training texts have them in."""
+    rng = random.Random(3)
+    pairs = [(f"left{i}", f"right{i}") for i in range(20)]
+    texts = [" ".join(w for p in rng.choices(pairs, k=15) for w in p) for _ in range(300)]
+    known, turned = ("left3 right3 left7 right7", "right7 left3 right3 left7")
+    docs = frame(spark, [*texts, known, turned, " ".join(sorted(known.split())), ""])
+    held = F.col("doc_id") >= 300
+    score = {r["id"]: r["score"] for r in context_mixing.score_texts(docs, held).collect()}
+    assert score[300] > score[301] + 1 and score[300] > score[302] + 1
+
+
+def test_context_mixing_adds_up_pairs_and_learns_rare_words():
+    """Costs of a run of texts are those of its words after the words before them, one by one; words
+    that training texts hold once in more than a million are counted in all contexts."""
+    rng = np.random.default_rng(4)
+    table = rng.integers(0, 9, 2 * context_mixing.SLOTS).astype(np.float16)
+    plain = np.full(context_mixing.NODES * context_mixing.STEPS, 0.5)
+    named = np.zeros(context_mixing.KINDS)
+    weights = rng.normal(size=context_mixing.START.shape)
+    model = context_mixing.Model(table.tobytes(), weights, plain, named)
+    texts = ["the cat saw the cat", "", "Zoë 12 saw the\tcat", "x" * 40 + " the cat"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
+    run = context_mixing._run(data, offsets)
+    hashes, first = words.hashed_words(data, offsets, lower=True)
+    wanted = []
+    for i, text in enumerate(texts):
+        cost, before = -log10(context_mixing.KINDS), context_mixing.BEGIN
+        names = [*hashes[first[i] : first[i + 1]], context_mixing.END]
+        for word, name in zip([*text.encode().lower().split(), b""], names, strict=True):
+            cost += model.costs(
+                run.text_kinds[i : i + 1], np.array([len(word)]), np.frombuffer(word, np.uint8),
+                np.ones(1, np.int64), np.array([before]),
+            )[0]
+            before = name
+        wanted.append(cost)
+    assert np.allclose(model.text_costs(run), wanted, rtol=1e-5)
+    text = pa.array(["often " * 1_200_000, "seldom"])
+    (counted,) = context_mixing._context_counts(1)(iter([pa.RecordBatch.from_arrays([text], ["text"])]))
+    found = np.frombuffer(counted.column("numbers")[0].as_py(), np.float32).reshape(-1, 2)
+    lows = [*context_mixing.OFFSETS, context_mixing.SLOTS]
+    bits = [found[a:b].sum(dtype=float) for a, b in zip(lows[:-1], lows[1:], strict=True)]
+    assert bits == [5 * (1_200_000 * 6 + 7 + 2)] * len(bits)
